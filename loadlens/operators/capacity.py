@@ -73,26 +73,16 @@ def loop_pods(frames: DataFrame) -> DataFrame:
 
 def pod_capacity(pods: DataFrame) -> DataFrame:
     """Capacity of every pod after each usable loop: its line at the skew-corrected load."""
-    sessions = regression.pod_sessions(pods)
-    keyed = pods.join(sessions, ["job", "pod", "loop"])
-    lines = regression.fold_lines(keyed)
+    lines = regression.fold_lines(regression.with_sessions(pods)).filter("usable")
     skew = 1 - (F.col("max_cpu_mean") - F.col("mx"))
-    return (
-        keyed.filter("usable")
-        .withColumn("skew", skew)
-        .join(
-            lines.select("job", "pod", "session", "loop", "slope", "intercept"),
-            ["job", "pod", "session", "loop"],
-        )
-        .select(
-            "job",
-            "pod",
-            "loop",
-            "skew",
-            "slope",
-            "intercept",
-            whole(F.col("slope") * F.col("skew") + F.col("intercept")).alias("capacity"),
-        )
+    return lines.select(
+        "job",
+        "pod",
+        "loop",
+        skew.alias("skew"),
+        "slope",
+        "intercept",
+        whole(F.col("slope") * skew + F.col("intercept")).alias("capacity"),
     )
 
 

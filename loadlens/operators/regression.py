@@ -30,65 +30,57 @@ def loop_moments(samples: DataFrame, keys: Sequence[str] = POD) -> DataFrame:
     )
 
 
-def pod_sessions(presence: DataFrame, keys: Sequence[str] = POD) -> DataFrame:
-    """Number the stretches of consecutive loops in which a pod was alive.
+def with_sessions(loops: DataFrame, keys: Sequence[str] = POD) -> DataFrame:
+    """Add `session` to one row per pod and loop: constant over consecutive loops.
 
-    A pod that is absent for a loop loses its model; a new session starts it afresh.
+    A pod that is absent for a loop loses its model; its next loop opens a new session. The
+    loop number less the row number only changes at such gaps.
     """
-    loops = presence.select(*keys, "loop").distinct()
     slices = F.floor(F.col("loop") / LOOPS_PER_SLICE)
-    linked = running(loops, keys, ["loop"], slices, {"prev": ("lag", F.col("loop"))})
-    starts = F.when(F.col("prev").isNull() | (F.col("loop") - F.col("prev") > 1), 1).otherwise(0)
-    return running(linked, keys, ["loop"], slices, {"session": ("sum", starts)}).drop("prev")
+    numbered = running(loops, keys, ["loop"], slices, {"__pos": ("pos", F.lit(1))})
+    return numbered.withColumn("session", F.col("loop") - F.col("__pos")).drop("__pos")
 
 
 def fold_lines(moments: DataFrame, keys: Sequence[str] = (*POD, "session")) -> DataFrame:
-    """Line of every pod after each loop: `n, mean_x, mean_y, slope, intercept`.
+    """Add the line of every pod after each loop: `n, mean_x, mean_y, slope, intercept`.
 
-    Loops with `k = 0` keep the state as it is.
+    Takes the columns of `loop_moments`; loops with `k = 0` keep the state as it is.
     """
     keys = list(keys)
     slices = F.floor(F.col("loop") / LOOPS_PER_SLICE)
-    filled = moments.withColumns(
-        {c: F.coalesce(c, F.lit(0.0)) for c in ("mx", "my", "sxx", "sxy")}
-    )
+    x, y, sxx, sxy = (F.coalesce(c, F.lit(0.0)) for c in ("mx", "my", "sxx", "sxy"))
+    k = F.col("k")
     totals = running(
-        filled,
+        moments,
+        keys,
+        ["loop"],
+        slices,
+        {"n": ("sum", k), "__sx": ("sum", k * x), "__sy": ("sum", k * y)},
+    )
+    before = F.col("n") - k
+    dx = x - F.when(before > 0, (F.col("__sx") - k * x) / before).otherwise(0.0)
+    dy = y - F.when(before > 0, (F.col("__sy") - k * y) / before).otherwise(0.0)
+    shrink = F.when(F.col("n") > 0, (F.col("n") - 1) / F.col("n")).otherwise(0.0)
+    sums = running(
+        totals,
         keys,
         ["loop"],
         slices,
         {
-            "n": ("sum", F.col("k")),
-            "sum_x": ("sum", F.col("k") * F.col("mx")),
-            "sum_y": ("sum", F.col("k") * F.col("my")),
+            "__v": ("sum", F.when(k > 0, shrink * (sxx + k * dx * dx)).otherwise(0.0)),
+            "__c": ("sum", F.when(k > 0, shrink * (sxy + k * dx * dy)).otherwise(0.0)),
         },
     )
-    before = F.col("n") - F.col("k")
-    old_x = F.when(before > 0, (F.col("sum_x") - F.col("k") * F.col("mx")) / before).otherwise(0.0)
-    old_y = F.when(before > 0, (F.col("sum_y") - F.col("k") * F.col("my")) / before).otherwise(0.0)
-    shrink = F.when(F.col("n") > 0, (F.col("n") - 1) / F.col("n")).otherwise(0.0)
-    dx, dy = F.col("mx") - old_x, F.col("my") - old_y
-    terms = totals.withColumns(
+    mean_x, mean_y = F.try_divide("__sx", "n"), F.try_divide("__sy", "n")
+    slope = F.try_divide("__c", "__v")
+    return sums.withColumns(
         {
-            "dv": F.when(F.col("k") > 0, shrink * (F.col("sxx") + F.col("k") * dx * dx)).otherwise(0.0),
-            "dc": F.when(F.col("k") > 0, shrink * (F.col("sxy") + F.col("k") * dx * dy)).otherwise(0.0),
+            "mean_x": mean_x,
+            "mean_y": mean_y,
+            "slope": slope,
+            "intercept": mean_y - slope * mean_x,
         }
-    )
-    sums = running(
-        terms, keys, ["loop"], slices, {"v": ("sum", F.col("dv")), "c": ("sum", F.col("dc"))}
-    )
-    mean_x, mean_y = F.try_divide("sum_x", "n"), F.try_divide("sum_y", "n")
-    slope = F.try_divide("c", "v")
-    return sums.select(
-        *keys,
-        "loop",
-        "k",
-        "n",
-        mean_x.alias("mean_x"),
-        mean_y.alias("mean_y"),
-        slope.alias("slope"),
-        (mean_y - slope * mean_x).alias("intercept"),
-    )
+    ).drop("__sx", "__sy", "__v", "__c")
 
 
 def least_squares_lines(samples: DataFrame, keys: Sequence[str] = POD) -> DataFrame:

@@ -13,6 +13,7 @@ STABILISE = 180
 CALM = 600
 TARGET_RECOVERY = 600
 LOOP_STEPS = 60
+INITIAL_AGE = 300
 
 
 def _max_of_first(values: Column, n: Column) -> Column:
@@ -96,8 +97,10 @@ def plan_scaleout(
     )
 
 
-def since_last_rescale(loops: DataFrame, loop_seconds: int, slice_loops: int = 4096) -> DataFrame:
-    """Seconds since the parallelism last changed; a series starts 300 s after a rescale."""
+def since_last_rescale(
+    loops: DataFrame, loop_seconds: int, initial: int = INITIAL_AGE, slice_loops: int = 4096
+) -> DataFrame:
+    """Seconds since the parallelism last changed; a series starts `initial` seconds after."""
     slices = F.floor(F.col("loop") / slice_loops)
     linked = running(loops, ["job"], ["loop"], slices, {"__prev": ("lag", F.col("parallelism"))})
     changed = F.col("__prev").isNotNull() & (F.col("__prev") != F.col("parallelism"))
@@ -113,5 +116,5 @@ def since_last_rescale(loops: DataFrame, loop_seconds: int, slice_loops: int = 4
     )
     seconds = F.when(
         F.col("__at").isNotNull(), (F.col("loop") - F.col("__at")) * loop_seconds
-    ).otherwise((F.col("loop") - F.col("__first")) * loop_seconds + 300)
+    ).otherwise((F.col("loop") - F.col("__first")) * loop_seconds + initial)
     return marked.withColumn("since_rescale", seconds).drop("__prev", "__at", "__first")

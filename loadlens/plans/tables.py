@@ -83,9 +83,9 @@ def pod_hours(rows: DataFrame) -> DataFrame:
     hours = rows.groupBy(
         job.alias("job"), pod.alias("pod"), F.date_trunc("hour", "ts").alias("ts")
     ).agg(
-        F.count(F.lit(1)).cast("double").alias("workload"),
+        (F.sum(F.round("value")) / 4).alias("workload"),
         F.count(F.when(~failed, 1)).cast("double").alias("throughput"),
-        F.when(load >= CPU_FLOOR, F.least(F.lit(1.0), load / 1000)).alias("cpu"),
+        F.when(load >= CPU_FLOOR, F.least(F.lit(1.0), load / 900)).alias("cpu"),
         F.count(F.when(failed, 1)).cast("double").alias("lag"),
     )
     return hours.withColumn(
@@ -163,9 +163,9 @@ SQL = {
                    'pod-' || CAST((user_id // 5) % 6 AS VARCHAR) AS pod,
                    date_trunc('hour', ts) AS ts,
                    CAST(floor(epoch(date_trunc('hour', ts)) / 43200) AS BIGINT) AS loop,
-                   CAST(count(*) AS DOUBLE) AS workload,
+                   sum(round(value)) / 4 AS workload,
                    CAST(count(*) FILTER (WHERE event_type <> 'error') AS DOUBLE) AS throughput,
-                   CASE WHEN sum(value) >= 10 THEN least(1.0::DOUBLE, sum(value) / 1000) END AS cpu,
+                   CASE WHEN sum(value) >= 10 THEN least(1.0::DOUBLE, sum(value) / 900) END AS cpu,
                    CAST(count(*) FILTER (WHERE event_type = 'error') AS DOUBLE) AS lag
             FROM events GROUP BY 1, 2, 3, 4
         )""",
@@ -198,7 +198,7 @@ SQL = {
 
 def with_tables(names: str, body: str) -> str:
     """`WITH` the named adapters (blank separated, in dependency order) before a query."""
-    return "WITH " + ",".join(SQL[n] for n in names.split()) + body
+    return "WITH RECURSIVE " + ",".join(SQL[n] for n in names.split()) + body
 
 
 def sql_distance(lat1: str, lon1: str, lat2: str, lon2: str) -> str:

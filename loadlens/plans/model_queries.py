@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loadlens import session
-from loadlens.operators import anomaly, capacity, forecast, recovery, regression
+from loadlens.operators import anomaly, arima, capacity, forecast, recovery, regression
 from loadlens.operators.scan import running
 from loadlens.plans import fleet
 from loadlens.plans import tables as t
@@ -569,3 +569,15 @@ def adjust_downtime(spark: SparkSession, sf: str) -> DataFrame:
         (2 * F.col("avg_workload")).alias("predicted"),
     )
     return recovery.adjust_downtime(rescales).select("job", "loop", "direction", "downtime")
+
+
+@query("arima_forecast")
+def arima_forecast(spark: SparkSession, sf: str) -> DataFrame:
+    """Fit every job's hourly workload and continue it by the horizon."""
+    rows = session.materialise(
+        t.job_hours(fleet.reduced_hours(spark, sf)).select("job", "ts", "workload"), "workload"
+    )
+    slices = F.floor(F.unix_seconds("ts") / (7 * 86400))
+    models = session.materialise(arima.fit_arima(rows, slice_by=slices), "arima")
+    made = arima.forecast_arima(rows, models, SET.horizon_steps, step=SET.step, slice_by=slices)
+    return made.select("job", "start", F.posexplode("forecast").alias("idx", "yhat"))

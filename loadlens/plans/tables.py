@@ -85,7 +85,7 @@ def pod_hours(rows: DataFrame) -> DataFrame:
     ).agg(
         (F.sum(F.round("value")) / 4).alias("workload"),
         F.count(F.when(~failed, 1)).cast("double").alias("throughput"),
-        F.when(load >= CPU_FLOOR, F.least(F.lit(1.0), load / 900)).alias("cpu"),
+        F.when(load >= CPU_FLOOR, F.least(F.lit(1.0), load / 997)).alias("cpu"),
         F.count(F.when(failed, 1)).cast("double").alias("lag"),
     )
     return hours.withColumn(
@@ -165,7 +165,7 @@ SQL = {
                    CAST(floor(epoch(date_trunc('hour', ts)) / 43200) AS BIGINT) AS loop,
                    sum(round(value)) / 4 AS workload,
                    CAST(count(*) FILTER (WHERE event_type <> 'error') AS DOUBLE) AS throughput,
-                   CASE WHEN sum(value) >= 10 THEN least(1.0::DOUBLE, sum(value) / 900) END AS cpu,
+                   CASE WHEN sum(value) >= 10 THEN least(1.0::DOUBLE, sum(value) / 997) END AS cpu,
                    CAST(count(*) FILTER (WHERE event_type = 'error') AS DOUBLE) AS lag
             FROM events GROUP BY 1, 2, 3, 4
         )""",

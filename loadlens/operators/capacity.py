@@ -12,9 +12,11 @@ from loadlens.operators.scan import running
 from loadlens.operators.telemetry import drop_warm_up, is_number
 
 MAX_SCALEOUT = 18
-FOLD_ROWS = 512
 # Larger than any capacity; thresholds at or above it are never reached.
 NEVER = 1 << 50
+# Rows per block of a fold. At least 51, so that halving once per row leaves a block only two
+# possible ends for any start below NEVER.
+FOLD_ROWS = 512
 
 
 def whole(value: Column) -> Column:

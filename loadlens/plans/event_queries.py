@@ -472,9 +472,8 @@ def resample_from_anchor(spark: SparkSession, sf: str) -> DataFrame:
 )
 def observation_at(spark: SparkSession, sf: str) -> DataFrame:
     rows = t.events(spark, sf)
-    peak = rows.agg(F.max_by("ts", F.struct("value", -F.col("event_id"))).alias("at"))
-    found = series.observation_at(rows.join(F.broadcast(peak), F.col("ts") == F.col("at")), F.col("at"))
-    return found.select("event_id", "user_id", "value")
+    peak = rows.agg(F.max_by("ts", F.struct("value", -F.col("event_id")))).scalar()
+    return series.observation_at(rows, peak).select("event_id", "user_id", "value")
 
 
 @query(
@@ -509,11 +508,10 @@ def rescale_curve(spark: SparkSession, sf: str) -> DataFrame:
 )
 def workload_curve(spark: SparkSession, sf: str) -> DataFrame:
     rows = t.events(spark, sf).select("event_id")
-    size = rows.agg(F.count(F.lit(1)).alias("points"))
-    indexed = rows.crossJoin(F.broadcast(size))
-    return indexed.select(
+    points = rows.agg(F.count(F.lit(1))).scalar()
+    return rows.select(
         F.col("event_id").alias("second"),
-        series.sine_curve(F.col("event_id"), F.col("points"), 60000, 3, 5000).alias("count"),
+        series.sine_curve(F.col("event_id"), points, 60000, 3, 5000).alias("count"),
     )
 
 

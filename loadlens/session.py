@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -43,6 +45,17 @@ def use_rocksdb_state(spark: SparkSession) -> None:
     """Keep streaming state in RocksDB, so that it may outgrow executor memory."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
 
+_local_roots: dict[str, str] = {}
+
+
+def _local_root(spark: SparkSession) -> str:
+    """One temporary folder per local application, removed at exit."""
+    app = spark.sparkContext.applicationId
+    if app not in _local_roots:
+        _local_roots[app] = tempfile.mkdtemp(prefix="loadlens-")
+        atexit.register(shutil.rmtree, _local_roots[app], ignore_errors=True)
+    return _local_roots[app]
+
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below `spark.checkpoint.dir`, visible to every executor.
@@ -55,8 +68,7 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="loadlens-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local_root(spark)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

@@ -177,10 +177,18 @@ def tail_sum(rows: DataFrame, value: str, n: int = 10, by: Sequence[str] = ("job
 # --- values over time ------------------------------------------------------------------
 
 
-def _range_frame(keys: Sequence[str], seconds: int, left_inclusive: bool):
+def _frames(keys: Sequence[str], seconds: int, left_inclusive: bool = True):
+    """Rows up to now, and rows already out of reach, of one series slice.
+
+    Both frames only grow, so a value over the reach is a difference of two running values
+    and costs the same however many rows the reach holds.
+    """
+    order = Window.partitionBy(*keys, "__slice").orderBy("__us")
     reach = seconds * 1_000_000 - (0 if left_inclusive else 1)
     return (
-        Window.partitionBy(*keys, "__slice").orderBy("__us").rangeBetween(-reach, 0)
+        order,
+        order.rangeBetween(Window.unboundedPreceding, 0),
+        order.rangeBetween(Window.unboundedPreceding, -reach - 1),
     )
 
 
@@ -198,10 +206,12 @@ def avg_over_time(
     slice_seconds: int = 3600,
 ) -> DataFrame:
     """Mean of each series over the last `seconds`, at every sample."""
-    frame = _range_frame(keys, seconds, left_inclusive)
+    _, seen, gone = _frames(keys, seconds, left_inclusive)
+    total = F.sum("value").over(seen) - F.coalesce(F.sum("value").over(gone), F.lit(0.0))
+    count = F.count("value").over(seen) - F.count("value").over(gone)
     return (
         _sliced_samples(samples, seconds, slice_seconds)
-        .withColumn("avg_value", F.avg("value").over(frame))
+        .withColumn("avg_value", F.try_divide(total, count))
         .filter("__own")
         .drop("__own", "__slice", "__us")
     )
@@ -216,20 +226,25 @@ def counter_rate(
     """Per-second increase of a counter over the last `seconds`, at every sample.
 
     A drop means the counter restarted from zero. The increase is taken between the first
-    and last sample of the frame, without extrapolation to its edges; null for one sample.
+    and last sample in reach, without extrapolation to its edges; null for one sample.
+    `ts` must be unique within a series.
     """
-    order = Window.partitionBy(*keys, "__slice").orderBy("__us")
-    frame = _range_frame(keys, seconds, True)
+    order, seen, gone = _frames(keys, seconds)
     prev = F.lag("value").over(order)
     grown = F.when(F.col("value") < prev, F.col("value")).otherwise(F.col("value") - prev)
-    increase = F.sum("__inc").over(frame) - F.first("__inc").over(frame)
-    elapsed = (F.col("__us") - F.min("__us").over(frame)) / F.lit(1_000_000)
+    here = F.struct("__us", "__grown")
+    # The first sample in reach follows the last one out of reach.
+    first = F.coalesce(F.last("__next").over(gone), F.first(here).over(seen))
+    elapsed = (F.col("__us") - F.col("__first.__us")) / F.lit(1_000_000)
     return (
         _sliced_samples(samples, seconds, slice_seconds)
         .withColumn("__inc", F.coalesce(grown, F.lit(0.0)))
-        .withColumn("rate", F.try_divide(increase, elapsed))
+        .withColumn("__grown", F.sum("__inc").over(seen))
+        .withColumn("__next", F.lead(here).over(order))
+        .withColumn("__first", first)
+        .withColumn("rate", F.try_divide(F.col("__grown") - F.col("__first.__grown"), elapsed))
         .filter("__own")
-        .drop("__own", "__slice", "__us", "__inc")
+        .drop("__own", "__slice", "__us", "__inc", "__grown", "__next", "__first")
     )
 
 

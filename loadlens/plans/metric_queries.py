@@ -305,14 +305,14 @@ def tail_sum(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "avg_over_time",
     """SELECT event_id, round(avg(value) OVER (
-         PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 43200000000 PRECEDING AND CURRENT ROW), 6)
+         PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 43200000000 PRECEDING AND CURRENT ROW), 8)
          AS avg_value
        FROM events""",
 )
 def avg_over_time(spark: SparkSession, sf: str) -> DataFrame:
     rows = t.events(spark, sf).select("event_id", "user_id", "ts", "value")
     out = telemetry.avg_over_time(rows, 43200, keys=["user_id"], slice_seconds=86400)
-    return out.select("event_id", F.round("avg_value", 6).alias("avg_value"))
+    return out.select("event_id", F.round("avg_value", 8).alias("avg_value"))
 
 
 @query(

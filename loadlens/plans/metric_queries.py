@@ -428,7 +428,7 @@ def approach_means(spark: SparkSession, sf: str) -> DataFrame:
 )
 def approach_report(spark: SparkSession, sf: str) -> DataFrame:
     rows = hours(spark, sf)
-    grouped = rows.groupBy("ts").pivot("pod", POD_NAMES)
+    grouped = rows.groupBy("ts").pivot("pod")
     out = report.approach_report(grouped.agg(F.sum("lag")), grouped.agg(F.count(F.lit(1))))
     return out.select(
         "approach", *[F.round(c, 6).alias(c) for c in out.columns if c != "approach"]

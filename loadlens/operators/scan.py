@@ -48,8 +48,9 @@ def running(
     """
     keys, order = list(keys), list(order)
     part = [*keys, SLICE]
-    # One shuffle; the local windows and the per-slice totals both read it.
-    base = df.withColumn(SLICE, slice_by).repartition(*part)
+    sliced = df.withColumn(SLICE, slice_by)
+    # The rows move once, for the local windows.
+    base = sliced.repartition(*part)
     local = Window.partitionBy(*part).orderBy(*order)
     so_far = local.rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
@@ -107,9 +108,15 @@ def running(
             raise ValueError(f"unknown running value: {kind}")
 
     ranked = base.withColumn("__row", inner.pop("__row")) if "__row" in inner else base
-    per_slice = (ranked if hits else base).groupBy(*part).agg(
-        *[c.alias(n) for n, c in totals.items()]
-    )
+    # Totals that need few columns are combined before they move. Those carrying values read
+    # the exchange of the rows, which then serves both.
+    if hits:
+        source = ranked
+    elif all(kind in ("sum", "count", "min", "max", "pos") for kind, _ in specs.values()):
+        source = sliced
+    else:
+        source = base
+    per_slice = source.groupBy(*part).agg(*[c.alias(n) for n, c in totals.items()])
     carry = per_slice.select(
         *part, *[c.alias(n) for n, c in carries.items()], *[F.col(h) for h in hits]
     )

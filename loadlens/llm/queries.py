@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from loadlens.llm import (
     chat,
     decontaminate,
+    html_text,
     licenses,
+    mixing,
     near_dup,
     quality,
     token_counts,
@@ -111,6 +113,15 @@ def chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.expand(turns.unionByName(planted)))
 
 
+@query("op3_html_consensus")
+def html_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    texts = html_text.main_texts(table(spark, sf_dir, "pages"))
+    return texts.select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "by_host"
+    )
+
+
 @query("op4_url_rules")
 def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's URL."""
@@ -118,6 +129,13 @@ def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "mined_rule")
 
 
+@query("op5_cube_mixing")
+def cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix takes."""
+    plan = mixing.plan_mix(table(spark, sf_dir, "documents"))
+    return plan.select("doc_id", "size", "source_size", "target", "taken")
+
+
 @query("op7_quality_rules")
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""

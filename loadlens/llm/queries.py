@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loadlens.llm import (
+    bloom_lm,
     chat,
     decontaminate,
     html_text,
@@ -136,6 +137,24 @@ def cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op6_bloom_lm")
+def bloom_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every document."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = bloom_lm.is_held_out(F.col("doc_id"))
+    model = bloom_lm.train(documents.where(~held_out))
+    scored = bloom_lm.score(documents, model, ["doc_id"])
+    return scored.select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(model.n_tokens).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+    )
+
+
 @query("op7_quality_rules")
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""

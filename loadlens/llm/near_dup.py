@@ -193,13 +193,6 @@ def _confirm(percent: int):
     return run
 
 
-def _with_ids(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
-    """Rows of `df` whose id is in the written table `ids`; broadcast below a checked size."""
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return df.join(ids, on, "left_semi")
-
-
 def band_keys(reps: DataFrame, like: Similarity) -> DataFrame:
     """Table keys (key, rep): every pair of a first and a second half of a document.
 
@@ -431,7 +424,7 @@ def near_duplicates(documents: DataFrame, like: Similarity | None = None) -> Dat
         "stars",
     )
     ids = session.materialise(keys.select(F.col("rep").alias("doc_id")).distinct(), "met-ids")
-    texts = _with_ids(documents.select(F.col("doc_id").cast("long"), "text"), ids, "doc_id")
+    texts = _apart(documents.select(F.col("doc_id").cast("long"), "text"), ids, "left_semi")
     sets = texts.mapInArrow(_write_sets(like), SETS)
     # Of rows that repeat an id, each set once.
     sets = sets.where(F.octet_length("shingles") > 0).dropDuplicates(["rep", "digest"])
@@ -461,3 +454,29 @@ def near_duplicates(documents: DataFrame, like: Similarity | None = None) -> Dat
         component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
     )
+
+
+def drop_near_duplicates(documents: DataFrame, like: Similarity | None = None) -> DataFrame:
+    """One document of each class of `near_duplicates`, with its own columns under any names.
+
+    Rows that repeat a doc_id count as one document here: one of them stays, or none. Rows
+    without doc_id, and texts without words, stay.
+    """
+    judged = session.materialise(near_duplicates(documents, like), "near-duplicates")
+    rejected = judged.where(~F.col("kept")).select("doc_id").distinct()
+    rest = _apart(documents, session.materialise(rejected, "rejected"), "left_anti")
+    kept = judged.where(F.col("kept") & F.col("doc_id").isNotNull())
+    again = kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    again = session.materialise(again, "repeated")
+    if again.isEmpty():
+        return rest
+    once = _apart(rest, again, "left_semi").dropDuplicates(["doc_id"])
+    return _apart(rest, again, "left_anti").unionByName(once)
+
+
+def _apart(documents: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Rows with or without an id in the written table `ids`, which is broadcast if small."""
+    ids = ids.withColumnRenamed("doc_id", "id_of_row")
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return documents.join(ids, F.col("doc_id") == F.col("id_of_row"), how)

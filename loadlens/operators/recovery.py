@@ -31,7 +31,7 @@ def recovery_time(
 
     A row expression over the forecast array: no rows are multiplied and nothing moves.
     The restart is part of the crossing index and is added once more. Null where a
-    capacity is unknown (0).
+    capacity is unknown (0) or there is no forecast.
     """
     up, down = (F.lit(x) if isinstance(x, int) else x for x in (up, down))
     restart = F.when(scaleout < parallelism, down).otherwise(up).cast("int")
@@ -56,7 +56,7 @@ def recovery_time(
         ),
     )
     return F.when(
-        (capacity != 0) & (current_capacity != 0),
+        (capacity != 0) & (current_capacity != 0) & F.get(forecast, F.lit(0)).isNotNull(),
         F.coalesce(walk["p"], F.lit(BEYOND_FORECAST)) + restart,
     )
 

@@ -33,7 +33,8 @@ def plan_scaleout(
 
     A situation has `parallelism, capacities (array 0..max), forecast (array), avg_workload,
     tail_workload, lag, since_rescale`. The candidates are elements of the row's own array,
-    tested by a filter on it, so a fleet is planned in one narrow projection.
+    tested by a filter on it, so a fleet is planned in one narrow projection. Every situation
+    gets a decision; without a forecast (null or empty) the scale-out stays.
     """
     current = F.get("capacities", F.col("parallelism"))
     rows = situations.withColumns(
@@ -74,19 +75,21 @@ def plan_scaleout(
     found = F.get(F.filter(F.sequence(F.lit(0), top), acceptable), F.lit(0))
     waiting = F.col("since_rescale") < stabilise
     unknown = F.coalesce(F.col("__current"), F.lit(0)) == 0
+    blind = F.get("forecast", F.lit(0)).isNull()
     steady = (
         (F.col("since_rescale") < calm)
         & (F.col("__current") > F.col("avg_workload"))
-        & (F.col("__current") > F.col("__near_peak"))
+        & F.coalesce(F.col("__current") > F.col("__near_peak"), F.lit(False))
     )
     reason = (
         F.when(waiting, "stabilising")
         .when(unknown, "capacity unknown")
+        .when(blind, "no forecast")
         .when(steady, "calm period")
         .when(F.col("__found").isNotNull(), "fits")
         .otherwise("maximum")
     )
-    keep = waiting | unknown | steady
+    keep = waiting | unknown | blind | steady
     return (
         rows.withColumn("__found", F.when(~keep, found))
         .withColumn("reason", reason)

@@ -85,11 +85,9 @@ def situations(hours: DataFrame, settings: Settings, model: DataFrame | None = N
     accuracy = forecast.wape(job_rows, model, settings.step, settings.loop_steps)
     chosen = forecast.choose_forecast(model, trend, accuracy)
     facts = t.loop_facts(job_rows).select("job", "loop", "avg_workload", "tail_workload", "lag")
-    return (
-        aged.join(facts, ["job", "loop"])
-        .join(chosen.select("job", "loop", "forecast", "source"), ["job", "loop"])
-        # A loop of a single sample has no trend to extrapolate.
-        .filter(F.get("forecast", F.lit(0)).isNotNull())
+    # A loop of a single sample has no trend to extrapolate: its forecast holds nulls.
+    return aged.join(facts, ["job", "loop"]).join(
+        chosen.select("job", "loop", "forecast", "source"), ["job", "loop"]
     )
 
 

@@ -135,8 +135,7 @@ LINES = f"""{LOOP_FRAMES},
                           THEN 0 ELSE 1 END AS fresh
               FROM loop_pods)),
     numbered AS (
-        SELECT *, row_number() OVER (PARTITION BY job, pod, session ORDER BY loop) AS i,
-               row_number() OVER (PARTITION BY job, pod ORDER BY loop) AS age
+        SELECT *, row_number() OVER (PARTITION BY job, pod, session ORDER BY loop) AS i
         FROM sessions),
     lines AS (
         SELECT job, pod, session, i, loop, k, k AS n, mx AS mean_x, my AS mean_y,
@@ -282,11 +281,12 @@ def job_capacity(spark: SparkSession, sf: str) -> DataFrame:
         JOB_HOURS,
         f""", {LINES},
             simple AS (
-                SELECT job, pod, loop, age, CAST(trunc(throughput_sum / cpu_sum) AS DOUBLE) AS x
-                FROM numbered WHERE age = 1
+                SELECT job, pod, session, i, loop, CAST(trunc(throughput_sum / cpu_sum) AS DOUBLE) AS x
+                FROM numbered WHERE i = 1
                 UNION ALL
-                SELECT m.job, m.pod, m.loop, m.age, (trunc(throughput_sum / cpu_sum) + x) / 2
-                FROM simple s JOIN numbered m ON m.job = s.job AND m.pod = s.pod AND m.age = s.age + 1)
+                SELECT m.job, m.pod, m.session, m.i, m.loop, (trunc(throughput_sum / cpu_sum) + x) / 2
+                FROM simple s JOIN numbered m
+                  ON m.job = s.job AND m.pod = s.pod AND m.session = s.session AND m.i = s.i + 1)
             SELECT job, pod, loop, round(x, 6) AS simple_capacity FROM simple""",
     ),
 )
@@ -300,11 +300,13 @@ OBSERVED = f"""{LINES},
         FROM loop_facts f LEFT JOIN job_capacity c USING (job, loop)),
     known AS (
         SELECT *, row_number() OVER (PARTITION BY job, parallelism ORDER BY loop) AS i
-        FROM scaled WHERE capacity > 0),
+        FROM scaled WHERE capacity IS NOT NULL),
     observed AS (
         SELECT job, parallelism, loop, i, capacity AS observed FROM known WHERE i = 1
         UNION ALL
-        SELECT k.job, k.parallelism, k.loop, k.i, (o.observed + k.capacity) // 2
+        SELECT k.job, k.parallelism, k.loop, k.i,
+               CASE WHEN o.observed = 0 THEN k.capacity
+                    ELSE CAST(trunc((o.observed + k.capacity) / 2) AS BIGINT) END
         FROM observed o JOIN known k
           ON k.job = o.job AND k.parallelism = o.parallelism AND k.i = o.i + 1)"""
 FACTS = "pod_hours job_hours loop_facts"
@@ -328,7 +330,7 @@ CAPACITIES = f"""{OBSERVED},
         SELECT *, unnest(generate_series(0, {SET.max_scaleout})) AS scaleout FROM base),
     capacities AS (
         SELECT c.job, c.loop, c.parallelism, CAST(c.scaleout AS INTEGER) AS scaleout,
-               coalesce(o.observed,
+               coalesce(nullif(o.observed, 0),
                         CAST(trunc(c.scaleout * (c.capacity::DOUBLE / c.over)) AS BIGINT), 0) AS capacity
         FROM candidates c ASOF LEFT JOIN observed o
           ON c.job = o.job AND c.scaleout = o.parallelism AND c.loop >= o.loop)"""
@@ -475,7 +477,8 @@ SITUATIONS = f"""{CAPACITIES}, {CHOSEN.lstrip()},
         JOIN capacities n ON n.job = c.job AND n.loop = c.loop AND n.scaleout = c.parallelism
         JOIN loop_facts f ON f.job = c.job AND f.loop = c.loop
         JOIN ages a ON a.job = c.job AND a.loop = c.loop
-        WHERE (c.job, c.loop) IN (SELECT (job, loop) FROM chosen_steps WHERE yhat IS NOT NULL)),
+        ),
+    blind AS (SELECT job, loop, count(yhat) = 0 AS blind FROM chosen_steps GROUP BY 1, 2),
     walk AS (
         SELECT o.job, o.loop, o.scaleout, s.idx, s.yhat, o.restart,
                sum(CASE WHEN idx < restart THEN yhat ELSE 0 END)
@@ -484,12 +487,13 @@ SITUATIONS = f"""{CAPACITIES}, {CHOSEN.lstrip()},
                  OVER (PARTITION BY o.job, o.loop, o.scaleout ORDER BY idx) AS spare
         FROM options o JOIN chosen_steps s ON s.job = o.job AND s.loop = o.loop),
     recovery AS (
-        SELECT o.*, CASE WHEN capacity <> 0 AND current_capacity <> 0
+        SELECT o.*, blind, CASE WHEN capacity <> 0 AND current_capacity <> 0 AND NOT blind
                          THEN CAST(coalesce(p, 10800) + restart AS INTEGER) END AS recovery_time
         FROM options o JOIN (
             SELECT o.job, o.loop, o.scaleout,
                    min(idx) FILTER (WHERE idx >= w.restart AND spare > trunc(tail_workload + waiting + lag)) AS p
-            FROM options o JOIN walk w USING (job, loop, scaleout) GROUP BY 1, 2, 3) USING (job, loop, scaleout))"""
+            FROM options o JOIN walk w USING (job, loop, scaleout) GROUP BY 1, 2, 3) USING (job, loop, scaleout)
+        JOIN blind USING (job, loop))"""
 
 
 @query(
@@ -524,13 +528,14 @@ def predict_recovery(spark: SparkSession, sf: str) -> DataFrame:
             best AS (
                 SELECT job, loop, any_value(parallelism) AS parallelism, any_value(since_rescale) AS since,
                        any_value(current_capacity) AS current, any_value(avg_workload) AS w,
-                       any_value(near_peak) AS near_peak, min(scaleout) FILTER (WHERE ok) AS found
+                       any_value(near_peak) AS near_peak, any_value(blind) AS blind, min(scaleout) FILTER (WHERE ok) AS found
                 FROM tested GROUP BY 1, 2)
             SELECT job, loop, parallelism,
                    CASE WHEN since < 180 THEN 'stabilising' WHEN current = 0 THEN 'capacity unknown'
+                        WHEN blind THEN 'no forecast'
                         WHEN since < {SET.calm_seconds} AND current > w AND current > near_peak THEN 'calm period'
                         WHEN found IS NOT NULL THEN 'fits' ELSE 'maximum' END AS reason,
-                   CASE WHEN since < 180 OR current = 0
+                   CASE WHEN since < 180 OR current = 0 OR blind
                              OR (since < {SET.calm_seconds} AND current > w AND current > near_peak)
                         THEN parallelism ELSE coalesce(found, {SET.max_scaleout}) END AS target
             FROM best""",

@@ -16,8 +16,18 @@ def approach_means(rows: DataFrame, value: str, divisor: float = 1.0) -> DataFra
 
 
 def _value_slice(value: Column) -> Column:
-    """Coarse monotone bucket of a number: a tenth of a percent wide, either side of zero."""
-    return F.floor(F.signum(value) * F.log1p(F.abs(value)) * 1024).cast("bigint")
+    """Coarse monotone bucket of a number: a tenth of a percent wide, either side of zero.
+
+    Null comes before all numbers, infinities and NaN (which Spark orders last) after them.
+    """
+    finite = F.floor(F.signum(value) * F.log1p(F.abs(value)) * 1024).cast("bigint")
+    return (
+        F.when(value.isNull(), -(1 << 62))
+        .when(F.isnan(value), 1 << 62)
+        .when(value == float("inf"), 1 << 61)
+        .when(value == float("-inf"), -(1 << 61))
+        .otherwise(finite)
+    )
 
 
 def ecdf_steps(rows: DataFrame, value: str) -> DataFrame:

@@ -10,6 +10,8 @@ the ones of the unsliced window; no task ever sees more than one slice of one se
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -124,11 +126,14 @@ def running(
         carry = carry.withColumns({h: F.col("__rows_before") + F.col(h) for h in hits}).withColumns(
             {h: F.max(h).over(earlier) for h in hits}
         )
+    # Null keys are a series, and rows without a slice (a null order value) one of its slices.
+    renamed = carry.withColumnsRenamed({c: f"__at_{c}" for c in part})
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__at_{c}")) for c in part])
     return (
         ranked.withColumns(inner)
-        .join(carry, part, "left")
+        .join(renamed, same, "left")
         .withColumns(combined)
-        .drop(SLICE, "__row", *inner, *totals)
+        .drop(SLICE, "__row", *inner, *totals, *(f"__at_{c}" for c in part))
     )
 
 

@@ -177,19 +177,14 @@ def tail_sum(rows: DataFrame, value: str, n: int = 10, by: Sequence[str] = ("job
 # --- values over time ------------------------------------------------------------------
 
 
-def _frames(keys: Sequence[str], seconds: int, left_inclusive: bool = True):
-    """Rows up to now, and rows already out of reach, of one series slice.
+def _reach(keys: Sequence[str], seconds: int, left_inclusive: bool = True):
+    """The samples of one series slice that are in reach of each sample.
 
-    Both frames only grow, so a value over the reach is a difference of two running values
-    and costs the same however many rows the reach holds.
+    Values are taken over these rows alone, never as a difference of two running values: NaN,
+    infinite or very large samples have no effect once they are out of reach.
     """
     order = Window.partitionBy(*keys, "__slice").orderBy("__us")
-    reach = seconds * 1_000_000 - (0 if left_inclusive else 1)
-    return (
-        order,
-        order.rangeBetween(Window.unboundedPreceding, 0),
-        order.rangeBetween(Window.unboundedPreceding, -reach - 1),
-    )
+    return order, order.rangeBetween(-(seconds * 1_000_000 - (0 if left_inclusive else 1)), 0)
 
 
 def _sliced_samples(samples: DataFrame, seconds: int, slice_seconds: int) -> DataFrame:
@@ -205,13 +200,11 @@ def avg_over_time(
     keys: Sequence[str] = SERIES,
     slice_seconds: int = 3600,
 ) -> DataFrame:
-    """Mean of each series over the last `seconds`, at every sample."""
-    _, seen, gone = _frames(keys, seconds, left_inclusive)
-    total = F.sum("value").over(seen) - F.coalesce(F.sum("value").over(gone), F.lit(0.0))
-    count = F.count("value").over(seen) - F.count("value").over(gone)
+    """Mean of each series over the last `seconds`, at every sample; null values are skipped."""
+    _, reach = _reach(keys, seconds, left_inclusive)
     return (
         _sliced_samples(samples, seconds, slice_seconds)
-        .withColumn("avg_value", F.try_divide(total, count))
+        .withColumn("avg_value", F.avg("value").over(reach))
         .filter("__own")
         .drop("__own", "__slice", "__us")
     )
@@ -226,25 +219,31 @@ def counter_rate(
     """Per-second increase of a counter over the last `seconds`, at every sample.
 
     A drop means the counter restarted from zero. The increase is taken between the first
-    and last sample in reach, without extrapolation to its edges; null for one sample.
+    and last sample in reach, without extrapolation to its edges; null for one sample, NaN
+    where a sample in reach is NaN.
     `ts` must be unique within a series.
     """
-    order, seen, gone = _frames(keys, seconds)
+    order, reach = _reach(keys, seconds)
     prev = F.lag("value").over(order)
-    grown = F.when(F.col("value") < prev, F.col("value")).otherwise(F.col("value") - prev)
-    here = F.struct("__us", "__grown")
-    # The first sample in reach follows the last one out of reach.
-    first = F.coalesce(F.last("__next").over(gone), F.first(here).over(seen))
-    elapsed = (F.col("__us") - F.col("__first.__us")) / F.lit(1_000_000)
+    unknown = F.isnan("value") | F.isnan(prev)
+    grown = (
+        F.when(unknown, F.lit(float("nan")))
+        .when(F.col("value") < prev, F.col("value"))
+        .otherwise(F.col("value") - prev)
+    )
+    samples_in_reach = F.collect_list(F.struct("__us", "__inc")).over(reach)
+    # The first sample in reach only starts the count; what it grew by lies before it.
+    total = F.aggregate(
+        F.slice("__seen", F.lit(2), F.size("__seen")), F.lit(0.0), lambda a, x: a + x["__inc"]
+    )
+    elapsed = (F.col("__us") - F.col("__seen")[0]["__us"]) / F.lit(1_000_000)
     return (
         _sliced_samples(samples, seconds, slice_seconds)
         .withColumn("__inc", F.coalesce(grown, F.lit(0.0)))
-        .withColumn("__grown", F.sum("__inc").over(seen))
-        .withColumn("__next", F.lead(here).over(order))
-        .withColumn("__first", first)
-        .withColumn("rate", F.try_divide(F.col("__grown") - F.col("__first.__grown"), elapsed))
+        .withColumn("__seen", samples_in_reach)
+        .withColumn("rate", F.try_divide(total, elapsed))
         .filter("__own")
-        .drop("__own", "__slice", "__us", "__inc", "__grown", "__next", "__first")
+        .drop("__own", "__slice", "__us", "__inc", "__seen")
     )
 
 

@@ -50,9 +50,7 @@ def rejected_ad_events(spark: SparkSession, sf: str) -> DataFrame:
 
 def _traffic_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Traffic events on the wire; clicks have one token too many, sign-ups a textual latitude."""
-    rows = t.points(t.events(spark, sf)).join(
-        t.events(spark, sf).select("event_id", "event_type"), "event_id"
-    )
+    rows = t.points(t.events(spark, sf))
     line = codecs.encode_traffic_event(F.col("lp"), F.col("lat"), F.col("lon"), F.col("ts"))
     value = (
         F.when(F.col("event_type") == "click", F.concat(F.lit("x,"), line))
@@ -355,7 +353,7 @@ def densify_trajectory(spark: SparkSession, sf: str) -> DataFrame:
                         OVER (PARTITION BY user_id ORDER BY event_id) AS source,
                       CAST(k AS VARCHAR) || '-' || CAST(m AS VARCHAR) AS target
                FROM lattice)
-            SELECT source, target, round({sql_distance("a.lat", "a.lon", "b.lat", "b.lon")}, 3) AS metres
+            SELECT source, target, round({sql_distance("a.lat", "a.lon", "b.lat", "b.lon")}, 2) AS metres
             FROM edges JOIN nodes a ON source = a.id JOIN nodes b ON target = b.id""",
     ),
 )
@@ -372,7 +370,7 @@ def road_segments(spark: SparkSession, sf: str) -> DataFrame:
     )
     edges = linked.filter(F.col("source").isNotNull()).select("source", "target")
     segments = traffic.road_segments(t.lattice_nodes(rows), edges)
-    return segments.select("source", "target", F.round("metres", 3).alias("metres"))
+    return segments.select("source", "target", F.round("metres", 2).alias("metres"))
 
 
 # --- event-time lag --------------------------------------------------------------------

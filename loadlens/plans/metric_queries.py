@@ -191,16 +191,14 @@ def align_inner(spark: SparkSession, sf: str) -> DataFrame:
         f""" SELECT job, pod, {TS}, round(coalesce(c.value, 0), 6) AS cpu,
                     coalesce(t.value, 0) AS lag
              FROM (SELECT * FROM samples WHERE metric = 'cpu') c
-             FULL JOIN (SELECT * FROM samples WHERE metric = 'lag' AND value > 0) t
+             FULL JOIN (SELECT * FROM samples WHERE metric = 'lag') t
              USING (job, pod, ts)""",
     ),
 )
 def align_outer(spark: SparkSession, sf: str) -> DataFrame:
     rows = samples(spark, sf)
     cpu = rows.filter("metric = 'cpu'").select("job", "pod", "ts", F.col("value").alias("cpu"))
-    lag = rows.filter("metric = 'lag' AND value > 0").select(
-        "job", "pod", "ts", F.col("value").alias("lag")
-    )
+    lag = rows.filter("metric = 'lag'").select("job", "pod", "ts", F.col("value").alias("lag"))
     both = telemetry.align_outer(cpu, lag, ["cpu", "lag"], ["job", "pod", "ts"])
     return stamped(both, "job", "pod", "ts", "cpu", "lag")
 

@@ -32,7 +32,7 @@ RESIDUALS = """
     residuals AS (
         SELECT job, coalesce(w.ts, x.ts) AS ts, coalesce(w.workload, 0) - coalesce(x.throughput, 0) AS residual
         FROM job_hours w
-        FULL JOIN (SELECT job, ts, throughput FROM job_hours WHERE throughput > 1) x USING (job, ts)
+        FULL JOIN (SELECT job, ts, throughput FROM job_hours WHERE throughput > 0) x USING (job, ts)
     )"""
 FLAGGED = f"""{RESIDUALS},
     moments AS (
@@ -56,7 +56,8 @@ FLAGGED = f"""{RESIDUALS},
 def _residuals(spark: SparkSession, sf: str) -> DataFrame:
     rows = t.job_hours(fleet.reduced_hours(spark, sf))
     workload = rows.select("job", "ts", "workload")
-    throughput = rows.filter("throughput > 1").select("job", "ts", "throughput")
+    # An hour without processed events reports no throughput at all.
+    throughput = rows.filter("throughput > 0").select("job", "ts", "throughput")
     return anomaly.residuals(workload, throughput).select("job", "ts", "residual")
 
 

@@ -38,11 +38,10 @@ def ad_events(rows: DataFrame) -> DataFrame:
 
 
 def campaigns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ads are customers, campaigns their market segments; customers in debt run none."""
-    return (
-        table(spark, sf_dir, "customer")
-        .filter(F.col("c_acctbal") >= 0)
-        .select(F.col("c_custkey").cast("string").alias("ad_id"), F.col("c_mktsegment").alias("campaign_id"))
+    """Ads are suppliers, campaigns their nations; a third of the event users is no supplier."""
+    return table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").cast("string").alias("ad_id"),
+        F.concat(F.lit("campaign-"), F.col("s_nationkey").cast("string")).alias("campaign_id"),
     )
 
 
@@ -62,6 +61,7 @@ def points(rows: DataFrame) -> DataFrame:
         (F.lit(13.37) + m * 0.000003).cast("float").alias("lon"),
         "ts",
         "value",
+        "event_type",
     )
 
 
@@ -139,8 +139,9 @@ SQL = {
         )""",
     "campaigns": """
         campaigns AS (
-            SELECT CAST(c_custkey AS VARCHAR) AS ad_id, c_mktsegment AS campaign_id
-            FROM customer WHERE c_acctbal >= 0
+            SELECT CAST(s_suppkey AS VARCHAR) AS ad_id,
+                   'campaign-' || CAST(s_nationkey AS VARCHAR) AS campaign_id
+            FROM supplier
         )""",
     "lattice": """
         lattice AS (
@@ -202,13 +203,44 @@ def with_tables(names: str, body: str) -> str:
 
 
 def sql_distance(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
-    """The distance formula of `functions.geo` as SQL text."""
-    mid = f"radians(({lat1} + {lat2}) / 2)"
-    e2 = "(1/298.257223563 * (2 - 1/298.257223563))::DOUBLE"
-    w2 = f"(1 - {e2} * sin({mid}) * sin({mid}))"
-    north = f"(6378137.0::DOUBLE * (1 - {e2}) / ({w2} * sqrt({w2})))"
-    east = f"(6378137.0::DOUBLE / sqrt({w2}) * cos({mid}))"
-    return (
-        f"sqrt(pow({north} * radians({lat2} - {lat1}), 2)"
-        f" + pow({east} * radians({lon2} - {lon1}), 2))"
+    """Geodesic length as SQL text, by the iterated textbook solution (T. Vincenty, 1975).
+
+    `functions.geo` takes another, closed formula for legs as short as those of the tables.
+    """
+
+    def let(name: str, value: str, body: str) -> str:
+        return f"list_transform([{value}], lambda {name}: {body})[1]"
+
+    f, a = "(1/298.257223563::DOUBLE)", "6378137.0::DOUBLE"
+    b = f"({a} * (1 - {f}))"
+    arc = "sqrt(pow(u.c2*sin(l),2) + pow(u.c1*u.s2 - u.s1*u.c2*cos(l),2))"
+    terms = (
+        f"{{'u': u, 'ss': {arc}, 'cs': u.s1*u.s2 + u.c1*u.c2*cos(l),"
+        f" 'sa': coalesce(u.c1*u.c2*sin(l) / nullif({arc}, 0), 0)}}"
+    )
+    more = (
+        "{'ss': t.ss, 'cs': t.cs, 'sa': t.sa, 'sig': atan2(t.ss, t.cs), 'c2a': 1 - t.sa*t.sa,"
+        " 'cm': t.cs - 2*t.u.s1*t.u.s2 / (1 - t.sa*t.sa), 'span': t.u.span}"
+    )
+    c = f"({f}/16 * g.c2a * (4 + {f}*(4 - 3*g.c2a)))"
+    moved = (
+        f"g.span + (1 - {c}) * {f} * g.sa *"
+        f" (g.sig + {c}*g.ss*(g.cm + {c}*g.cs*(2*g.cm*g.cm - 1)))"
+    )
+    lam = "list_reduce([u.span, 0, 0, 0, 0, 0, 0, 0], lambda l, z: " + let(
+        "t", terms, let("g", more, moved)
+    ) + ")"
+    uu = f"(g.c2a * ({a}*{a} - {b}*{b}) / ({b}*{b}))"
+    big_a = f"(1 + {uu}/16384*(4096 + {uu}*(-768 + {uu}*(320 - 175*{uu}))))"
+    big_b = f"({uu}/1024*(256 + {uu}*(-128 + {uu}*(74 - 47*{uu}))))"
+    change = (
+        f"{big_b}*g.ss*(g.cm + {big_b}/4*(g.cs*(2*g.cm*g.cm - 1)"
+        f" - {big_b}/6*g.cm*(4*g.ss*g.ss - 3)*(4*g.cm*g.cm - 3)))"
+    )
+    metres = let("l", lam, let("t", terms, let("g", more, f"{b}*{big_a}*(g.sig - {change})")))
+    u1, u2 = (f"atan((1 - {f})*tan(radians({lat})))" for lat in (lat1, lat2))
+    start = (
+        f"{{'s1': sin({u1}), 'c1': cos({u1}), 's2': sin({u2}), 'c2': cos({u2}),"
+        f" 'span': radians({lon2} - {lon1})}}"
     )
+    return let("u", start, metres)

@@ -39,7 +39,11 @@ def loop_moments_stream(samples: DataFrame, loop: str = "60 seconds", delay: str
 
 
 class LineProcessor(StatefulProcessor):
-    """Folds loop moments into a pod's line; a skipped loop starts it afresh."""
+    """Folds loop moments into a pod's line; a skipped loop starts it afresh.
+
+    A loop without samples (k = 0) keeps the line but counts as present. Loops must come in
+    order: one that is not newer than the last is late and leaves no trace.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("line", LINE_STATE)
@@ -48,8 +52,14 @@ class LineProcessor(StatefulProcessor):
         last, n, mx, my, v, c = self.state.get() if self.state.exists() else (None, 0, 0.0, 0.0, 0.0, 0.0)
         out = []
         for r in pd.concat(list(rows)).sort_values("loop").itertuples():
+            if last is not None and r.loop <= last:
+                continue
             if last is None or r.loop - last > 1:
                 n, mx, my, v, c = 0, 0.0, 0.0, 0.0, 0.0
+            last = int(r.loop)
+            if not r.k:
+                out.append((*key, last, n, *self.line(n, mx, my, v, c)))
+                continue
             k = int(r.k)
             n += k
             shrink = (n - 1) / n
@@ -60,19 +70,29 @@ class LineProcessor(StatefulProcessor):
             c += (shrink * sxy - k * c) / n
             mx += k * (r.mx - mx) / n
             my += k * (r.my - my) / n
-            last = int(r.loop)
-            slope = c / v if v else None
-            out.append((*key, last, n, mx, my, slope, None if slope is None else my - slope * mx))
+            out.append((*key, last, n, *self.line(n, mx, my, v, c)))
         self.state.update((last, n, mx, my, v, c))
         names = ["job", "pod", "loop", "n", "mean_x", "mean_y", "slope", "intercept"]
         yield pd.DataFrame(out, columns=names)
 
+    @staticmethod
+    def line(n: int, mx: float, my: float, v: float, c: float) -> tuple:
+        """Means, slope and intercept; null where nothing is known yet."""
+        if not n:
+            return None, None, None, None
+        slope = c / v if v else None
+        return mx, my, slope, None if slope is None else my - slope * mx
+
     def close(self) -> None:
         pass
 
 
 class MomentProcessor(StatefulProcessor):
-    """Folds per-loop residual moments into a job's running count, mean and deviation."""
+    """Folds per-loop residual moments into a job's running count, mean and deviation.
+
+    A loop without residuals (k = 0) changes nothing and gives no row. The moments are sums,
+    so a loop that comes late still counts, from its arrival on.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("moments", MOMENT_STATE)
@@ -81,6 +101,8 @@ class MomentProcessor(StatefulProcessor):
         n, mean, m2 = self.state.get() if self.state.exists() else (0, 0.0, 0.0)
         out = []
         for r in pd.concat(list(rows)).sort_values("loop").itertuples():
+            if not r.k:
+                continue
             k = int(r.k)
             total = n + k
             shift = r.mr - mean

@@ -126,23 +126,47 @@ def test_load_ad_campaigns(spark, tmp_path):
 # --- geodesy ---------------------------------------------------------------------------
 
 
-def test_local_distance_agrees_with_vincenty(spark):
+@pytest.fixture(scope="module")
+def legs():
+    """Legs from a metre to 10 000 km, all over the globe, date line included."""
     rng = np.random.default_rng(5)
-    pdf = pd.DataFrame(
-        {
-            "a": 52.51623 + rng.uniform(-0.02, 0.02, 500),
-            "b": 13.38532 + rng.uniform(-0.02, 0.02, 500),
-            "c": 52.51623,
-            "d": 13.38532,
-        }
-    )
-    cols = [F.col(c) for c in "abcd"]
-    gap = (
-        spark.createDataFrame(pdf)
-        .select(F.max(F.abs(geo.distance(*cols) - geo.vincenty(*cols))).alias("gap"))
-        .first()["gap"]
+    parts = []
+    for span in (1e-5, 0.01, 0.4, 3, 60):
+        lat, lon = rng.uniform(-88, 88, 400), rng.uniform(-180, 180, 400)
+        to = np.clip(lat + rng.uniform(-span, span, 400), -89.9, 89.9)
+        parts.append(np.c_[lat, lon, to, (lon + rng.uniform(-span, span, 400) + 180) % 360 - 180])
+    return np.concatenate(parts)
+
+
+def corners():
+    return [F.col(c) for c in "abcd"]
+
+
+def test_distance_agrees_with_vincenty_at_every_length(spark, legs):
+    rows = spark.createDataFrame(pd.DataFrame(legs, columns=list("abcd")))
+    got = rows.select(geo.distance(*corners()).alias("m"), geo.vincenty(*corners()).alias("v")).toPandas()
+    assert (got["m"] - got["v"]).abs().max() < 0.001
+    assert got["v"].max() > 8e6
+
+
+def test_distance_across_the_date_line_and_of_nothing(spark):
+    rows = spark.createDataFrame(
+        [(0.0, 179.9, 0.0, -179.9), (10.0, 10.0, 10.0, 10.0), (0.0, 0.0, 0.0, 90.0), (90.0, 0.0, -90.0, 0.0)],
+        "a double, b double, c double, d double",
     )
-    assert gap < 1e-4
+    got = [r[0] for r in rows.select(geo.distance(*corners())).collect()]
+    assert got == pytest.approx([22263.8982, 0.0, 10018754.1714, 20003931.4586], abs=0.01)
+
+
+def test_steps_lie_on_the_way(spark, legs):
+    whole = geo._vincenty(*legs.T)
+    part = whole * np.random.default_rng(7).uniform(0, 1, len(legs))
+    rows = spark.createDataFrame(pd.DataFrame(np.c_[legs, part], columns=list("abcds")))
+    lat, lon = geo.step(*corners(), F.col("s"))
+    at = rows.select(lat.alias("x"), lon.alias("y")).toPandas().to_numpy()
+    before = geo._vincenty(legs[:, 0], legs[:, 1], at[:, 0], at[:, 1])
+    after = geo._vincenty(at[:, 0], at[:, 1], legs[:, 2], legs[:, 3])
+    assert np.abs(before - part).max() < 0.12 and np.abs(before + after - whole).max() < 0.001
 
 
 def test_vincenty_known_line(spark):
@@ -178,7 +202,8 @@ def test_offset_windows_and_single_points(spark):
     assert set(rows) == {at(1), at(11)}
     assert rows[at(1)]["avg_speed"] == 0
     # About 111 m in one second.
-    assert rows[at(11)]["avg_speed"] == int(111.26 * 3.6) or abs(rows[at(11)]["avg_speed"] - 400) < 2
+    # 0.001 degrees of latitude there are 111.27 m.
+    assert rows[at(11)]["avg_speed"] == 400
     assert rows[at(11)]["lat"] == pytest.approx(52.502, abs=1e-5)
 
 
@@ -204,19 +229,27 @@ def test_speeding_keeps_the_limit(spark):
 
 
 def test_densify_by_hand(spark):
-    # 100 m north at 36 km/h, one point a second: 0, 10, ... 90 m; then a second leg.
-    lat1 = 52.5 + 100 / 111267.5
+    # 93 m north at 36 km/h, one point a second: 0, 10, ... 90 m; then back at half the speed.
+    north = 52.5 + 93 / 111267.5
     way = spark.createDataFrame(
-        [("v", 0, 52.5, 13.4, 36), ("v", 1, lat1, 13.4, 36), ("v", 2, lat1, 13.4, 36), ("v", 3, 52.5, 13.4, 18)],
+        [("v", 0, 52.5, 13.4, 36), ("v", 1, north, 13.4, 36), ("v", 2, north, 13.4, 36),
+         ("v", 3, 52.5, 13.4, 18), ("v", 4, 52.6, 13.4, 0), ("v", 5, 52.5, 13.4, None)],
         "lp string, seq long, lat double, lon double, speed int",
     )
     rows = traffic.densify_trajectory(traffic.legs(way), 1000, F.lit(5000).cast("bigint")).orderBy("ts_ms").collect()
-    first = [r for r in rows if r["seq"] == 1]
-    back = [r for r in rows if r["seq"] == 3]
-    assert len(first) in (10, 11) and len(back) in (20, 21)
-    assert not [r for r in rows if r["seq"] == 2]
-    assert [r["ts_ms"] for r in rows] == [5000 + 1000 * i for i in range(len(rows))]
-    assert first[1]["lat"] - first[0]["lat"] == pytest.approx(10 / 111267.5, abs=8e-6)
+    # No way and no speed give no points.
+    assert [r["seq"] for r in rows] == [1] * 10 + [3] * 19
+    assert [r["ts_ms"] for r in rows] == [5000 + 1000 * i for i in range(29)]
+    assert rows[1]["lat"] - rows[0]["lat"] == pytest.approx(10 / 111267.5, abs=8e-6)
+    assert rows[11]["lat"] - rows[10]["lat"] == pytest.approx(-5 / 111267.5, abs=8e-6)
+
+
+def test_blocks_of_a_long_leg_are_spread(spark):
+    way = spark.createDataFrame([("v", 0, 0.0, 0.0, 1), ("v", 1, 0.0, 1.0, 36)], "lp string, seq long, lat double, lon double, speed int")
+    dense = traffic.densify_trajectory(traffic.legs(way), 100, F.lit(0).cast("bigint"))
+    assert dense.count() == 111320  # 111 319.49 m in steps of 1 m
+    plan = dense._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate explode") == 2 and "lp#" in plan[plan.index("Generate explode") :].split("Generate explode")[1]
 
 
 def test_road_graph(spark, tmp_path):

@@ -86,3 +86,16 @@ def test_halo_completes_frames(spark):
 def test_halo_wider_than_slice_is_refused(spark):
     with pytest.raises(ValueError):
         with_halo(spark.range(3), F.col("id"), 2, 5)
+
+
+def test_null_keys_and_null_order_keep_their_carry(spark):
+    rows = [(None, i, 1.0) for i in range(6)] + [("a", i, 1.0) for i in range(4)] + [("a", None, 5.0)]
+    df = spark.createDataFrame(rows, "k string, t long, v double")
+    got = running(
+        df, ["k"], ["t"], F.floor(F.col("t") / 2), {"total": ("sum", F.col("v")), "pos": ("pos", F.lit(1))}
+    ).collect()
+    assert sorted((r["total"], r["pos"]) for r in got if r["k"] is None) == [(float(i), i) for i in range(1, 7)]
+    # A null comes first.
+    assert [(r["total"], r["pos"]) for r in sorted((r for r in got if r["k"]), key=lambda r: r["pos"])] == [
+        (5.0, 1), (6.0, 2), (7.0, 3), (8.0, 4), (9.0, 5),
+    ]

@@ -62,6 +62,25 @@ def test_average_over_time_edge(spark):
     assert [r["avg_value"] for r in half] == [1.0, 3.0, 8.0]
 
 
+def test_odd_values_have_no_effect_out_of_reach(spark):
+    nan, inf = float("nan"), float("inf")
+    values = [1.0, nan, 3.0, 4.0, 1e17, 1.0, inf, 2.0, None, 5.0]
+    rows = spark.createDataFrame([("j", "p", "m", at(100 * i), v) for i, v in enumerate(values)], LONG)
+    got = [r["avg_value"] for r in telemetry.avg_over_time(rows, 60).orderBy("ts").collect()]
+    assert [repr(x) for x in got] == [repr(x) for x in values]
+    near = [r["avg_value"] for r in telemetry.avg_over_time(rows, 100).orderBy("ts").collect()]
+    assert near[3] == 3.5 and near[9] == 5.0 and np.isnan(near[2])
+
+
+def test_rate_forgets_odd_values(spark):
+    nan = float("nan")
+    values = [0.0, 10.0, nan, 30.0, 40.0, 50.0, 1e17, 5.0, 15.0]
+    rows = spark.createDataFrame([("j", "p", "m", at(10 * i), v) for i, v in enumerate(values)], LONG)
+    got = [r["rate"] for r in telemetry.counter_rate(rows, 10).orderBy("ts").collect()]
+    assert got[0] is None and got[1] == 1.0 and np.isnan(got[3])
+    assert got[4:6] == [1.0, 1.0] and got[7:] == [0.5, 1.0]
+
+
 def test_alert_needs_duration(spark):
     pods = [(s, p) for s in range(0, 300, 10) for p in ("a", "b")]
     alone = {(s, "b") for s in range(50, 80, 10)} | {(s, "b") for s in range(150, 220, 10)}
@@ -107,6 +126,13 @@ def test_ecdf_of_a_shared_value(spark):
     np.testing.assert_allclose(np.sort(full["y"]), np.arange(25002) / 25002)
 
 
+def test_ecdf_orders_odd_values(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = spark.createDataFrame([("a", v) for v in (2.0, nan, -1.0, inf, 1.0, -inf, None)], "approach string, latency double")
+    got = {repr(r["latency"]): r["first"] for r in report.ecdf_steps(rows, "latency").collect()}
+    assert got == {"None": 0, "-inf": 1, "-1.0": 2, "1.0": 3, "2.0": 4, "inf": 5, "nan": 6}
+
+
 def test_report_counts_missing_latency_as_zero(spark):
     latency = spark.createDataFrame([(1, 4.0, None), (2, 6.0, 8.0)], "ts int, a double, b double")
     scale = spark.createDataFrame([(1, 6.0, 3.0), (2, 12.0, 3.0)], "ts int, a double, b double")

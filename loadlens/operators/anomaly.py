@@ -29,21 +29,57 @@ def residual_moments(rows: DataFrame, keys: Sequence[str] = ("job",)) -> DataFra
     )
 
 
+def moments_before(rows: DataFrame, keys: Sequence[str] = ("job",)) -> DataFrame:
+    """Moments that were known when each loop began: those of all residuals of earlier loops.
+
+    Takes `(keys, loop, ts, residual)`, gives `(keys, loop, n, mean, std)`; mean and std are
+    null for a series' first loop. Sums are taken around the first residual.
+    """
+    keys = list(keys)
+    first = rows.groupBy(*keys).agg(F.min_by("residual", "ts").alias("origin"))
+    x = F.col("residual") - F.col("origin")
+    loops = rows.join(first, keys).groupBy(*keys, "loop", "origin").agg(
+        F.count(x).alias("k"), F.sum(x).alias("s"), F.sum(x * x).alias("ss")
+    )
+    known = running(
+        loops,
+        keys,
+        ["loop"],
+        F.floor(F.col("loop") / 4096),
+        {"__n": ("sum", F.col("k")), "__s": ("sum", F.col("s")), "__ss": ("sum", F.col("ss"))},
+    )
+    n = F.col("__n") - F.col("k")
+    mean = F.try_divide(F.col("__s") - F.col("s"), n)
+    spread = F.try_divide(F.col("__ss") - F.col("ss"), n) - mean * mean
+    return known.select(
+        *keys,
+        "loop",
+        n.alias("n"),
+        (F.col("origin") + mean).alias("mean"),
+        F.sqrt(F.when(spread < 0, 0.0).otherwise(spread)).alias("std"),
+    )
+
+
 def detect_anomalies(
     rows: DataFrame,
     moments: DataFrame,
     keys: Sequence[str] = ("job",),
     gap: int = GAP,
     slice_by: Column | None = None,
+    as_of: Sequence[str] = (),
 ) -> DataFrame:
     """Flag residuals further than one deviation from the mean, smeared `gap` rows forward.
 
+    `moments` has one row per series, or, with `as_of=("loop",)`, one per series and loop;
+    rows without known moments are not flagged.
+
     A row is flagged when the latest raw anomaly lies at most `gap` rows back, so the
     rolling maximum needs two running positions and no frame of rows.
     """
     slice_by = time_slice(epoch(F.col("ts")), 86400) if slice_by is None else slice_by
     raw = F.abs(F.col("residual") - F.col("mean")) > F.col("std")
-    scored = rows.join(moments.select(*keys, "mean", "std"), list(keys)).withColumn(
+    on = [*keys, *as_of]
+    scored = rows.join(moments.select(*on, "mean", "std"), on).withColumn(
         "raw", F.coalesce(raw, F.lit(False)).cast("int")
     )
     hit = F.col("raw") == 1

@@ -21,7 +21,6 @@ from loadlens.operators.scan import SLICE, epoch, running, time_slice, with_halo
 MAX_DIFF, MAX_P, MAX_Q = 6, 5, 5
 KPSS_LIMIT, ADF_LIMIT = 0.463, -3.41
 LONG_AR = 12
-TEST_LAGS = 12
 BLOCK_ROWS = 65536
 TAIL_ROWS = 128
 
@@ -104,10 +103,20 @@ def _least_squares(gram: np.ndarray, columns: Sequence[int]) -> tuple[np.ndarray
 # --- differencing order ----------------------------------------------------------------
 
 
+def _kpss_lags(size: float) -> int:
+    return int(3 * max(size, 0) ** 0.5 / 13)
+
+
+def _adf_lags(size: float) -> int:
+    return int(max(size - 1, 0) ** (1 / 3))
+
+
 def _test_sums(block: pd.DataFrame) -> dict[str, np.ndarray]:
+    """Sums for both unit-root tests; their numbers of lags follow the length of the series."""
     pos, y = block["pos"].to_numpy(), block["y"].to_numpy()
     cum, size = block["cum"].to_numpy(), float(block["n"].iloc[0])
     own = block["__own"].to_numpy()
+    kpss, adf = _kpss_lags(size), _adf_lags(size)
     out = {}
     level = y
     for d in range(MAX_DIFF + 1):
@@ -123,23 +132,23 @@ def _test_sums(block: pd.DataFrame) -> dict[str, np.ndarray]:
         start = (pos[d - 1 :] == d) if d else np.zeros(0, bool)
         if d and own[d - 1 :][start].any():
             out[f"start{d}"] = np.array([level[start][0]])
-        products = np.zeros(TEST_LAGS + 1)
-        edges = np.zeros((2, TEST_LAGS + 1))
-        for lag in range(TEST_LAGS + 1):
+        products = np.zeros(kpss + 1)
+        edges = np.zeros((2, kpss + 1))
+        for lag in range(min(kpss, len(z)) + 1):
             left, right, mine = z[lag:], z[: len(z) - lag], zown[lag:]
             products[lag] = (left[mine] * right[mine]).sum()
             edges[:, lag] = left[mine].sum(), right[mine].sum()
         out[f"auto{d}"], out[f"edge{d}"] = products, edges
         dz = np.diff(z)
-        if len(dz) > TEST_LAGS:
-            mine = zown[1 + TEST_LAGS :]
+        if len(dz) > adf:
+            mine = zown[1 + adf :]
             rows = np.column_stack(
                 [
                     np.ones(mine.sum()),
-                    (tau[1 + TEST_LAGS :] / size)[mine],
-                    z[TEST_LAGS:-1][mine],
-                    _lagged(dz, TEST_LAGS)[mine],
-                    dz[TEST_LAGS:][mine],
+                    (tau[1 + adf :] / size)[mine],
+                    z[adf:-1][mine],
+                    *([_lagged(dz, adf)[mine]] if adf else []),
+                    dz[adf:][mine],
                 ]
             )
             out[f"adf{d}"] = rows.T @ rows
@@ -157,9 +166,9 @@ def _kpss_stationary(mats: dict[str, np.ndarray], d: int, size: float) -> bool:
     squares = (
         suu + shift**2 * m + slope**2 * sss - 2 * shift * su - 2 * slope * sus + 2 * shift * slope * ss
     )
-    lags = min(int(3 * m**0.5 / 13), TEST_LAGS)
+    lags = _kpss_lags(m)
     products, edges = mats[f"auto{d}"], mats[f"edge{d}"].reshape(2, -1)
-    counts = m - np.arange(TEST_LAGS + 1)
+    counts = m - np.arange(len(products))
     centred = products - mean * edges.sum(axis=0) + counts * mean**2
     weights = 1 - np.arange(1, lags + 1) / (lags + 1)
     variance = (centred[0] + 2 * (weights * centred[1 : lags + 1]).sum()) / m
@@ -171,8 +180,7 @@ def _adf_stationary(mats: dict[str, np.ndarray], d: int) -> bool:
         return True
     gram = _square(mats[f"adf{d}"])
     m = gram[0, 0]
-    lags = min(int(max(m - 1, 0) ** (1 / 3)), TEST_LAGS)
-    columns = range(3 + lags)
+    columns = range(3 + min(_adf_lags(m), len(gram) - 4))
     if m <= len(columns) + 1:
         return True
     beta, rss, inverse = _least_squares(gram, columns)
@@ -274,12 +282,14 @@ def fit_arima(
     """One model per series of `(keys, ts, value)`: `d, p, q, aic, const, ar, ma, long_ar`.
 
     The differencing order is the larger one asked for by two unit-root tests; p and q
-    minimise the information criterion. Series too short for the long autoregression at
-    the chosen order get no model. `ts` must be evenly spaced and unique per series.
+    minimise the information criterion. A series too short for the long autoregression at the
+    chosen order is modelled by its mean: all orders 0, no criterion. `ts` must be evenly
+    spaced and unique per series.
     """
     keys = list(keys)
     rows = _series(df, keys, value, slice_by)
-    back = MAX_DIFF + TEST_LAGS + 1
+    longest = rows.agg(F.max("n")).first()[0] or 0
+    back = MAX_DIFF + max(_kpss_lags(longest), _adf_lags(longest)) + 1
     orders = _solve(_block_sums(rows, keys, back, _test_sums), keys, "d int", _pick_difference)
     plain = rows.select(*keys, "pos", "y").join(orders, keys)
     long = _solve(
@@ -288,7 +298,6 @@ def fit_arima(
         "long_ar array<double>",
         _pick_long,
     )
-    params = orders.join(long, keys)
     short = _solve(
         _block_sums(
             plain.join(long, keys), keys, MAX_DIFF + LONG_AR + MAX_Q, _short_sums
@@ -297,7 +306,22 @@ def fit_arima(
         "p int, q int, aic double, const double, ar array<double>, ma array<double>",
         _pick_orders,
     )
-    return params.join(short, keys)
+    made = orders.join(long, keys, "left").join(short, keys, "left")
+    fitted = F.col("p").isNotNull()
+    nothing = F.array().cast("array<double>")
+    return made.select(
+        *keys,
+        F.when(fitted, F.col("d")).otherwise(0).alias("d"),
+        F.when(fitted, F.col("long_ar"))
+        .otherwise(F.array_repeat(F.lit(0.0), LONG_AR + 1))
+        .alias("long_ar"),
+        F.coalesce("p", F.lit(0)).alias("p"),
+        F.coalesce("q", F.lit(0)).alias("q"),
+        "aic",
+        F.coalesce("const", F.lit(0.0)).alias("const"),
+        F.coalesce("ar", nothing).alias("ar"),
+        F.coalesce("ma", nothing).alias("ma"),
+    )
 
 
 def forecast_arima(

@@ -9,7 +9,7 @@ from loadlens import session
 from loadlens.operators import ads, series, telemetry, traffic, words
 from loadlens.operators.scan import epoch, running, time_slice
 from loadlens.plans import tables as t
-from loadlens.plans.registry import query
+from loadlens.plans.registry import ORACLES, query
 from loadlens.plans.tables import sql_distance, with_tables
 from loadlens.sources import codecs, files, streams
 from loadlens.streaming import jobs, sinks
@@ -102,6 +102,15 @@ def parse_workload_curve(spark: SparkSession, sf: str) -> DataFrame:
     return codecs.parse_curve_lines(lines)
 
 
+@query("workload_curve_file", ORACLES["parse_workload_curve"])
+def workload_curve_file(spark: SparkSession, sf: str) -> DataFrame:
+    """The hourly curve written as a delimited file and read back."""
+    hourly = t.events(spark, sf).groupBy(F.unix_seconds(F.date_trunc("hour", "ts")).alias("second")).count()
+    path = session.shared_dir(spark, "curve")
+    files.write_curve(hourly, path)
+    return files.read_workload_curve(spark, path)
+
+
 @query(
     "campaign_of_position",
     """SELECT a.c_name AS ad_id, c.c_name AS campaign_id

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loadlens import session
 from loadlens.operators import capacity, report, telemetry
 from loadlens.operators.scan import epoch, run_starts, time_slice
 from loadlens.plans import tables as t
 from loadlens.plans.registry import query
 from loadlens.plans.tables import with_tables
+from loadlens.sources import files
 
 POD_NAMES = [f"pod-{i}" for i in range(t.PODS)]
 HOURS, JOB_HOURS, SAMPLES = "pod_hours", "pod_hours job_hours", "pod_hours samples"
@@ -140,6 +142,40 @@ def metrics_long(spark: SparkSession, sf: str) -> DataFrame:
     return stamped(long, "job", "pod", "metric", "ts", "value")
 
 
+FLEET_PODS = [f"job-{j}/{p}" for j in range(t.JOBS) for p in POD_NAMES]
+
+
+@query(
+    "metric_csv_file",
+    with_tables(
+        SAMPLES,
+        f""" SELECT 'fleet' AS job, job || '/' || pod AS pod, metric, {TS}, round(value, 6) AS value
+             FROM samples WHERE metric = 'cpu'""",
+    ),
+)
+def metric_csv_file(spark: SparkSession, sf: str) -> DataFrame:
+    """One wide file of the whole fleet's cpu, written and read back as samples."""
+    named = samples(spark, sf).withColumn("pod", F.concat_ws("/", "job", "pod")).withColumn("job", F.lit("fleet"))
+    wide = telemetry.metrics_wide(named, "cpu", FLEET_PODS).drop("job")
+    path = session.shared_dir(spark, "metric-csv")
+    wide.withColumnRenamed("ts", "Time").write.option("header", True).csv(path)
+    long = files.read_metric_csv(spark, path, "cpu", "fleet")
+    return stamped(long, "job", "pod", "metric", "ts", "value")
+
+
+@query(
+    "metric_dump_file",
+    with_tables(SAMPLES, f" SELECT job, pod, metric, {TS}, round(value, 6) AS value FROM samples WHERE metric = 'lag'"),
+)
+def metric_dump_file(spark: SparkSession, sf: str) -> DataFrame:
+    """Samples of one metric dumped as delimited text and read back."""
+    rows = samples(spark, sf)
+    path = session.shared_dir(spark, "metric-dump")
+    files.write_metric(rows, "lag", path)
+    back = spark.read.schema(rows.schema).option("header", True).csv(path)
+    return stamped(back, "job", "pod", "metric", "ts", "value")
+
+
 # First and last second of the observed month, and a grid finer than the samples.
 START, STOP, STEP, LOOKBACK = 1704067200, 1706659200, 1800, 7200
 
@@ -426,7 +462,7 @@ def approach_means(spark: SparkSession, sf: str) -> DataFrame:
 )
 def approach_report(spark: SparkSession, sf: str) -> DataFrame:
     rows = hours(spark, sf)
-    grouped = rows.groupBy("ts").pivot("pod")
+    grouped = rows.groupBy("ts").pivot("pod", POD_NAMES)
     out = report.approach_report(grouped.agg(F.sum("lag")), grouped.agg(F.count(F.lit(1))))
     return out.select(
         "approach", *[F.round(c, 6).alias(c) for c in out.columns if c != "approach"]

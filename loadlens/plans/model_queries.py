@@ -88,6 +88,38 @@ def detect_anomalies(spark: SparkSession, sf: str) -> DataFrame:
     return stamped(_flagged(spark, sf), "job", "ts", "raw", "anomaly")
 
 
+LOOP_OF_TS = f"CAST(floor(epoch(ts) / {SET.loop_seconds}) AS BIGINT)"
+
+
+@query(
+    "detect_anomalies_as_of",
+    with_tables(
+        JOB_HOURS,
+        f""", {RESIDUALS},
+            looped AS (SELECT *, {LOOP_OF_TS} AS loop FROM residuals),
+            known AS (
+                SELECT DISTINCT job, loop, round(avg(residual) OVER w, 6) AS mean,
+                       round(stddev_pop(residual) OVER w, 6) AS std
+                FROM looped WINDOW w AS (PARTITION BY job ORDER BY loop
+                                         RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+            scored AS (
+                SELECT job, ts, coalesce(CAST(abs(residual - mean) > std AS INTEGER), 0) AS raw
+                FROM looped JOIN known USING (job, loop))
+            SELECT job, CAST(epoch(ts) AS BIGINT) AS ts, raw,
+                   max(raw) OVER (PARTITION BY job ORDER BY ts
+                                  ROWS BETWEEN {GAP} PRECEDING AND CURRENT ROW) AS anomaly
+            FROM scored""",
+    ),
+)
+def detect_anomalies_as_of(spark: SparkSession, sf: str) -> DataFrame:
+    """Residuals scored by what was known before their loop."""
+    loop = F.floor(F.unix_seconds("ts") / SET.loop_seconds).cast("bigint")
+    rows = session.materialise(_residuals(spark, sf).withColumn("loop", loop), "residuals")
+    known = _rounded(anomaly.moments_before(rows))
+    flagged = anomaly.detect_anomalies(rows, known, gap=GAP, as_of=("loop",))
+    return stamped(flagged, "job", "ts", "raw", "anomaly")
+
+
 @query(
     "anomaly_runs",
     with_tables(

@@ -51,25 +51,27 @@ def forecast_rows(forecasts: DataFrame, step: int = 1, steps: int | None = None)
     )
 
 
-def wape(workload: DataFrame, forecasts: DataFrame, step: int = 1, loop_steps: int = 60) -> DataFrame:
-    """Accuracy, at each loop, of the forecast made one loop earlier.
+def wape(workload: DataFrame, forecasts: DataFrame, step: int = 1) -> DataFrame:
+    """Accuracy, at each loop, of the latest forecast made before it.
 
-    `sum |y - f| / sum y` over the timestamps both have; infinite without any. Only as many
-    forecast steps are unfolded as a loop can overlap.
+    `sum |y - f| / sum y` over the timestamps both have; infinite without any. Every row looks
+    its own step up in the forecast array, so the whole overlap counts and no step is unfolded.
     """
-    made_before = (
-        forecast_rows(forecasts, step, 2 * loop_steps)
-        .withColumn("loop", F.col("loop") + 1)
-        .select("job", "loop", "ts", "yhat")
+    loops = workload.select("job", "loop").distinct()
+    slices: Column = F.floor(F.col("loop") / LOOPS_PER_SLICE)
+    linked = running(loops, ["job"], ["loop"], slices, {"__before": ("lag", F.col("loop"))})
+    made = forecasts.select("job", F.col("loop").alias("__before"), "start", "forecast")
+    known = linked.join(made, ["job", "__before"], "left").select("job", "loop", "start", "forecast")
+    micros = F.unix_micros("ts") - F.unix_micros("start")
+    width = F.lit(step * 1_000_000).cast("bigint")
+    at = F.when((micros >= 0) & (micros % width == 0), F.floor(micros / width).cast("int"))
+    rows = workload.join(known, ["job", "loop"], "left").select(
+        "job", "loop", "workload", F.when(at.isNotNull(), F.get("forecast", at)).alias("yhat")
     )
-    scored = (
-        workload.join(made_before, ["job", "loop", "ts"], "left")
-        .groupBy("job", "loop")
-        .agg(
-            F.count("yhat").alias("overlap"),
-            F.sum(F.abs(F.col("workload") - F.col("yhat"))).alias("error"),
-            F.sum(F.when(F.col("yhat").isNotNull(), F.col("workload"))).alias("total"),
-        )
+    scored = rows.groupBy("job", "loop").agg(
+        F.count("yhat").alias("overlap"),
+        F.sum(F.abs(F.col("workload") - F.col("yhat"))).alias("error"),
+        F.sum(F.when(F.col("yhat").isNotNull(), F.col("workload"))).alias("total"),
     )
     return scored.select(
         "job",

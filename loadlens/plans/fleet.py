@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loadlens import session
-from loadlens.operators import capacity, forecast, recovery, scaleout
+from loadlens.operators import arima, capacity, forecast, recovery, scaleout
 from loadlens.plans import tables as t
 
 
@@ -45,7 +45,7 @@ HOURLY = Settings(
 
 
 def flat_forecast(job_rows: DataFrame, settings: Settings) -> DataFrame:
-    """A stand-in model: the loop's mean workload, repeated."""
+    """The simplest model: the loop's mean workload, repeated."""
     level = job_rows.groupBy("job", "loop").agg(
         F.avg("workload").alias("level"),
         (F.max("ts") + F.make_dt_interval(secs=F.lit(settings.step))).alias("start"),
@@ -55,6 +55,17 @@ def flat_forecast(job_rows: DataFrame, settings: Settings) -> DataFrame:
     )
 
 
+def arima_forecast(job_rows: DataFrame, settings: Settings) -> DataFrame:
+    """The model of the fleet: refitted as histories double, continued at every loop."""
+    rows = session.materialise(job_rows.select("job", "loop", "ts", "workload"), "workload")
+    slices = F.floor(F.unix_seconds("ts") / (7 * 86400))
+    models = session.materialise(arima.fit_by_cutoff(rows, slice_by=slices), "arima")
+    made = arima.forecast_loops(
+        rows, models, settings.horizon_steps, step=settings.step, slice_by=slices
+    )
+    return session.materialise(made, "arima-forecasts")
+
+
 def job_capacities(hours: DataFrame, job_rows: DataFrame) -> DataFrame:
     """`(job, loop, parallelism, capacity)` for every loop; capacity null where unknown.
 
@@ -81,8 +92,8 @@ def situations(hours: DataFrame, settings: Settings, model: DataFrame | None = N
     )
     trend = forecast.forecast_trend(job_rows, settings.horizon_steps, settings.step)
     if model is None:
-        model = flat_forecast(job_rows, settings)
-    accuracy = forecast.wape(job_rows, model, settings.step, settings.loop_steps)
+        model = arima_forecast(job_rows, settings)
+    accuracy = forecast.wape(job_rows, model, settings.step)
     chosen = forecast.choose_forecast(model, trend, accuracy)
     facts = t.loop_facts(job_rows).select("job", "loop", "avg_workload", "tail_workload", "lag")
     # A loop of a single sample has no trend to extrapolate: its forecast holds nulls.

@@ -402,8 +402,11 @@ def _wape_sql(steps: str) -> str:
         SELECT job, loop, overlap, CASE WHEN total <> 0 THEN error / total ELSE 'inf'::DOUBLE END AS wape
         FROM (SELECT h.job, h.loop, count(f.yhat) AS overlap, sum(abs(h.workload - f.yhat)) AS error,
                      coalesce(sum(h.workload) FILTER (WHERE f.yhat IS NOT NULL), 0) AS total
-              FROM job_hours h LEFT JOIN {steps} f
-                ON f.job = h.job AND f.loop + 1 = h.loop AND f.start + to_hours(f.idx) = h.ts
+              FROM job_hours h JOIN (
+                SELECT job, loop, lag(loop) OVER (PARTITION BY job ORDER BY loop) AS before
+                FROM (SELECT DISTINCT job, loop FROM job_hours)) p USING (job, loop)
+              LEFT JOIN {steps} f
+                ON f.job = h.job AND f.loop = p.before AND f.start + to_hours(f.idx) = h.ts
               GROUP BY 1, 2)"""
 
 
@@ -440,7 +443,7 @@ def forecast_trend(spark: SparkSession, sf: str) -> DataFrame:
 def trend_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     rows = t.job_hours(fleet.reduced_hours(spark, sf))
     trend = forecast.forecast_trend(rows, SET.horizon_steps, SET.step)
-    return _finite(forecast.wape(rows, trend, SET.step, SET.loop_steps))
+    return _finite(forecast.wape(rows, trend, SET.step))
 
 
 CHOSEN = f"""{TREND},
@@ -455,7 +458,7 @@ def _chosen(spark: SparkSession, sf: str) -> DataFrame:
     rows = t.job_hours(fleet.reduced_hours(spark, sf))
     model = fleet.flat_forecast(rows, SET)
     trend = forecast.forecast_trend(rows, SET.horizon_steps, SET.step)
-    accuracy = forecast.wape(rows, model, SET.step, SET.loop_steps)
+    accuracy = forecast.wape(rows, model, SET.step)
     return forecast.choose_forecast(model, trend, accuracy)
 
 
@@ -487,7 +490,7 @@ def choose_forecast(spark: SparkSession, sf: str) -> DataFrame:
 )
 def bad_forecast_streaks(spark: SparkSession, sf: str) -> DataFrame:
     rows = t.job_hours(fleet.reduced_hours(spark, sf))
-    accuracy = forecast.wape(rows, fleet.flat_forecast(rows, SET), SET.step, SET.loop_steps)
+    accuracy = forecast.wape(rows, fleet.flat_forecast(rows, SET), SET.step)
     return forecast.bad_streaks(accuracy).select("job", "loop", "bad_streak", "needs_retrain")
 
 
@@ -529,6 +532,12 @@ SITUATIONS = f"""{CAPACITIES}, {CHOSEN.lstrip()},
         JOIN blind USING (job, loop))"""
 
 
+def _level_situations(spark: SparkSession, sf: str) -> DataFrame:
+    """Situations under the level model, which SQL can follow."""
+    hours = fleet.reduced_hours(spark, sf)
+    return fleet.situations(hours, SET, fleet.flat_forecast(t.job_hours(hours), SET))
+
+
 @query(
     "predict_recovery",
     with_tables(
@@ -537,12 +546,12 @@ SITUATIONS = f"""{CAPACITIES}, {CHOSEN.lstrip()},
     ),
 )
 def predict_recovery(spark: SparkSession, sf: str) -> DataFrame:
-    found = fleet.situations(fleet.reduced_hours(spark, sf), SET)
+    found = _level_situations(spark, sf)
     return recovery.predict_recovery(found, SET.up_steps, SET.down_steps)
 
 
 @query(
-    "fleet_plan",
+    "fleet_plan_level",
     with_tables(
         FACTS,
         f""", {SITUATIONS},
@@ -574,9 +583,92 @@ def predict_recovery(spark: SparkSession, sf: str) -> DataFrame:
             FROM best""",
     ),
 )
+def fleet_plan_level(spark: SparkSession, sf: str) -> DataFrame:
+    """The plan under the level model."""
+    hours = fleet.reduced_hours(spark, sf)
+    planned = fleet.plan(hours, SET, fleet.flat_forecast(t.job_hours(hours), SET))
+    return planned.select("job", "loop", "parallelism", "reason", "target")
+
+
+@query("fleet_plan")
 def fleet_plan(spark: SparkSession, sf: str) -> DataFrame:
+    """The plan under ARIMA forecasts, scored loop by loop against the trend."""
     planned = fleet.plan(fleet.reduced_hours(spark, sf), SET)
-    return planned.select("job", "loop", "parallelism", "reason", "target")
+    return planned.select("job", "loop", "parallelism", "source", "reason", "target")
+
+
+@query("arima_loop_forecasts")
+def arima_loop_forecasts(spark: SparkSession, sf: str) -> DataFrame:
+    """ARIMA forecast of every loop, from what was known at its end."""
+    made = fleet.arima_forecast(t.job_hours(fleet.reduced_hours(spark, sf)), SET)
+    return _rounded(made.select("job", "loop", F.posexplode("forecast").alias("idx", "yhat")))
+
+
+# A model given in full, so that SQL can follow the recursion: once differenced, two lags, one
+# past shock, shocks taken from a first-order autoregression.
+GIVEN = {"d": 1, "const": 0.5, "ar": [0.6, -0.2], "ma": [0.3], "long": [0.1, 0.4]}
+STEPS_BACK = "PARTITION BY job ORDER BY ts"
+
+
+@query(
+    "arima_recursion",
+    with_tables(
+        JOB_HOURS,
+        f""", level AS (SELECT job, avg(workload) AS level FROM job_hours GROUP BY 1),
+            w AS (SELECT job, ts, workload - level AS y, workload - lag(workload) OVER ({STEPS_BACK}) AS w
+                  FROM job_hours JOIN level USING (job)),
+            back AS (SELECT job, ts, y, w, lag(w) OVER ({STEPS_BACK}) AS w1
+                     FROM w),
+            newest AS (SELECT *, w - {GIVEN["long"][0]} - {GIVEN["long"][1]} * w1 AS shock
+                       FROM back WHERE (job, ts) IN (SELECT (job, max(ts)) FROM job_hours GROUP BY job)),
+            steps AS (
+                SELECT job, 0 AS idx, w AS last,
+                       {GIVEN["const"]} + {GIVEN["ar"][0]} * w + {GIVEN["ar"][1]} * w1
+                         + {GIVEN["ma"][0]} * shock AS next, y AS sum
+                FROM newest
+                UNION ALL
+                SELECT job, idx + 1, next, {GIVEN["const"]} + {GIVEN["ar"][0]} * next + {GIVEN["ar"][1]} * last,
+                       sum + next
+                FROM steps WHERE idx < {SET.horizon_steps})
+            SELECT job, CAST(idx - 1 AS INTEGER) AS idx, round(sum + level, 6) AS yhat
+            FROM steps JOIN level USING (job) WHERE idx > 0""",
+    ),
+)
+def arima_recursion(spark: SparkSession, sf: str) -> DataFrame:
+    """Continue every job's workload by a given model."""
+    rows = t.job_hours(fleet.reduced_hours(spark, sf)).select("job", "ts", "workload")
+    long_ar = [*GIVEN["long"], *[0.0] * (arima.LONG_AR - 1)]
+    models = rows.select("job").distinct().select(
+        "job",
+        F.lit(GIVEN["d"]).alias("d"),
+        F.lit(GIVEN["const"]).alias("const"),
+        *(F.array(*map(F.lit, GIVEN[c])).alias(c) for c in ("ar", "ma")),
+        F.array(*map(F.lit, long_ar)).alias("long_ar"),
+    )
+    made = arima.forecast_arima(rows, models, SET.horizon_steps, step=SET.step)
+    return _rounded(made.select("job", F.posexplode("forecast").alias("idx", "yhat")))
+
+
+SIDE = arima.LONG_AR + 2
+
+
+@query(
+    "arima_lagged_products",
+    with_tables(
+        JOB_HOURS,
+        f""", w AS (SELECT job, ts, workload - lag(workload) OVER ({STEPS_BACK}) AS w FROM job_hours),
+            lags AS (SELECT job, [1.0, {", ".join(f"lag(w, {k}) OVER ({STEPS_BACK})" for k in range(1, arima.LONG_AR + 1))}, w] AS a
+                     FROM w)
+            SELECT job, CAST(i * {SIDE} + j AS INTEGER) AS i, round(sum(a[i + 1] * a[j + 1]), 4) AS value
+            FROM lags, range({SIDE}) AS r(i), range({SIDE}) AS s(j)
+            WHERE a[{SIDE - 1}] IS NOT NULL GROUP BY ALL""",
+    ),
+)
+def arima_lagged_products(spark: SparkSession, sf: str) -> DataFrame:
+    """The summed products that the long autoregression is solved from, once differenced."""
+    rows = t.job_hours(fleet.reduced_hours(spark, sf)).select("job", "ts", "workload")
+    summed = arima.lagged_products(rows, 1)
+    return _rounded(summed.select("job", "i", "value"), 4)
 
 
 @query(

@@ -285,7 +285,7 @@ def test_trend_continues_a_line(spark):
     row = trend.filter("loop = 0").first()
     assert len(row["forecast"]) == 600 and row["start"] == at(10)
     assert row["forecast"][:3] == pytest.approx([30, 32, 34])
-    scored = {r["loop"]: r for r in forecast.wape(df, trend, 1, 10).collect()}
+    scored = {r["loop"]: r for r in forecast.wape(df, trend, 1).collect()}
     assert scored[0]["overlap"] == 0 and scored[0]["wape"] == float("inf")
     assert scored[1]["overlap"] == 10 and scored[1]["wape"] == pytest.approx(0)
 
@@ -341,6 +341,37 @@ def test_arima_beats_the_threshold_and_ignores_blocks(spark, monkeypatch):
     np.testing.assert_allclose(both["aic_x"], both["aic_y"], rtol=1e-6)
 
 
+def test_loop_forecasts_use_the_past_alone(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    wave = 500 + 100 * np.sin(np.arange(640) / 7) + rng.normal(size=640) * 3
+    df = loops(spark, wave, 10)
+    models = arima.fit_by_cutoff(df)
+    assert sorted(r["cutoff"] for r in models.collect()) == [8, 16, 32]
+    made = {r["loop"]: r for r in arima.forecast_loops(df, models, 20).collect()}
+    assert sorted(made) == list(range(8, 64))
+    # Later rows change nothing, nor does the size of the blocks.
+    early = df.filter("loop < 40")
+    monkeypatch.setattr(arima, "LOOP_ROWS", 150)
+    again = arima.forecast_loops(early, arima.fit_by_cutoff(early), 20).collect()
+    assert sorted(r["loop"] for r in again) == list(range(8, 40))
+    for r in again:
+        assert r["start"] == made[r["loop"]]["start"] == at(10 * (r["loop"] + 1))
+        assert r["forecast"] == pytest.approx(made[r["loop"]]["forecast"], rel=1e-6)
+    scored = {r["loop"]: r for r in forecast.wape(df, arima.forecast_loops(df, models, 20), 1).collect()}
+    assert scored[8]["overlap"] == 0 and scored[9]["overlap"] == 10
+    assert np.mean([scored[i]["wape"] for i in range(40, 64)]) < 0.05
+
+
+def test_accuracy_takes_the_whole_overlap_and_skips_missing_loops(spark):
+    rows = [("j", i // 4, at(i), 10.0) for i in range(20) if i // 4 != 2]
+    df = spark.createDataFrame(rows, "job string, loop long, ts timestamp, workload double")
+    made = [("j", i, at(4 * i + 4), [float(8 + i)] * 12) for i in (0, 1, 3)]
+    model = spark.createDataFrame(made, "job string, loop long, start timestamp, forecast array<double>")
+    got = {r["loop"]: (r["overlap"], r["wape"]) for r in forecast.wape(df, model).collect()}
+    # Loop 3 is scored by the forecast of loop 1, made eight steps before it.
+    assert got == {0: (0, float("inf")), 1: (4, pytest.approx(0.2)), 3: (4, pytest.approx(0.1)), 4: (4, pytest.approx(0.1))}
+
+
 def test_short_series_continue_their_mean_and_lags_grow(spark):
     rows = [("tiny", at(i), float(v)) for i, v in enumerate([4, 6, 5])] + [("one", at(0), 7.0)]
     df = spark.createDataFrame(rows, "job string, ts timestamp, workload double")

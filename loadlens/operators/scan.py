@@ -171,7 +171,41 @@ def run_starts(
     value: Column,
     run_col: str = "run",
 ) -> DataFrame:
-    """Number runs of equal neighbouring values: 1, 2, ... per series."""
-    prev = running(df, keys, order, slice_by, {"__prev": ("lag", F.struct(value.alias("x")))})
-    changed = F.when(F.col("__prev").isNull() | ~F.col("__prev.x").eqNullSafe(value), 1).otherwise(0)
-    return running(prev, keys, order, slice_by, {run_col: ("sum", changed)}).drop("__prev")
+    """Number runs of equal neighbouring values: 1, 2, ... per series.
+
+    Changes are counted inside slices; whether a slice begins a run is decided on the summary
+    rows, which hold its first and last value. The rows move once.
+    """
+    keys, order = list(keys), list(order)
+    part = [*keys, SLICE]
+    local = Window.partitionBy(*part).orderBy(*order)
+    boxed = F.struct(value.alias("x"))
+    position = F.struct(*[F.col(c) for c in order])
+    base = df.withColumn(SLICE, slice_by).repartition(*part).withColumn("__box", boxed)
+    prev = F.lag("__box").over(local)
+    changed = F.when(prev.isNotNull() & ~prev["x"].eqNullSafe(F.col("__box.x")), 1).otherwise(0)
+    flagged = base.withColumn("__changed", changed)
+    slices = flagged.groupBy(*part).agg(
+        F.sum("__changed").alias("__inside"),
+        F.min_by("__box", position).alias("__first"),
+        F.max_by("__box", position).alias("__last"),
+    )
+    ordered = Window.partitionBy(*keys).orderBy(SLICE)
+    before = F.lag("__last").over(ordered)
+    begins = F.when(before.isNull() | ~before["x"].eqNullSafe(F.col("__first.x")), 1).otherwise(0)
+    counted = slices.withColumn("__begins", begins)
+    upto = F.sum(F.col("__begins") + F.col("__inside")).over(
+        ordered.rowsBetween(Window.unboundedPreceding, -1)
+    )
+    carry = counted.select(
+        *(F.col(c).alias(f"__at_{c}") for c in part),
+        (F.coalesce(upto, F.lit(0)) + F.col("__begins")).alias("__upto"),
+    )
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__at_{c}")) for c in part])
+    so_far = local.rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        flagged.withColumn("__inside", F.sum("__changed").over(so_far))
+        .join(carry, same, "left")
+        .withColumn(run_col, F.col("__upto") + F.col("__inside"))
+        .drop(SLICE, "__box", "__changed", "__inside", "__upto", *(f"__at_{c}" for c in part))
+    )

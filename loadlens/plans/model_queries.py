@@ -63,7 +63,8 @@ def _residuals(spark: SparkSession, sf: str) -> DataFrame:
 
 def _flagged(spark: SparkSession, sf: str) -> DataFrame:
     rows = _residuals(spark, sf)
-    return anomaly.detect_anomalies(rows, anomaly.residual_moments(rows), gap=GAP)
+    flagged = anomaly.detect_anomalies(rows, anomaly.residual_moments(rows), gap=GAP)
+    return session.materialise(flagged, "flagged")
 
 
 @query(

@@ -57,3 +57,10 @@ def test_box_reaches_a_stored_point_table(spark, tmp_path):
 def test_counts_are_taken_before_the_join(spark, sf_dir):
     plan = physical(event_queries.campaign_window_counts(spark, sf_dir))
     assert plan.index("Join") < plan.rindex("partial_count")
+
+
+def test_runs_move_their_rows_once(spark, sf_dir):
+    plan = physical(metric_queries.event_type_runs(spark, sf_dir))
+    by_slice = [e for e in re.findall(r"Exchange hashpartitioning\(([^)]*)\), REPARTITION", plan)]
+    assert 1 <= len(by_slice) <= 2  # the second is the same exchange, read again
+    assert plan.count("Exchange") <= 8

@@ -66,7 +66,8 @@ def ecdf(rows: DataFrame, value: str) -> DataFrame:
 def approach_report(wide_latency: DataFrame, wide_parallelism: DataFrame, divisor: float = 12.0) -> DataFrame:
     """Mean latency, mean parallelism and resource use of every approach.
 
-    Inputs have `ts` and one column per approach; missing latency counts as 0.
+    Inputs have `ts` and one column per approach; missing latency counts as 0, and an approach
+    without any parallelism is left out.
     """
 
     def long(df: DataFrame, name: str) -> DataFrame:
@@ -74,7 +75,7 @@ def approach_report(wide_latency: DataFrame, wide_parallelism: DataFrame, diviso
         return df.unpivot(["ts"], [F.col(f"`{c}`").cast("double").alias(c) for c in cols], "approach", name)
 
     latency = long(wide_latency, "latency").na.fill(0.0, ["latency"])
-    parallelism = long(wide_parallelism, "parallelism")
+    parallelism = long(wide_parallelism, "parallelism").where("parallelism IS NOT NULL")
     usage = parallelism.groupBy("approach").agg(
         F.avg("parallelism").alias("mean_parallelism"),
         (F.avg("parallelism") / divisor).alias("resource_usage"),

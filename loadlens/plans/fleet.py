@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loadlens import session
-from loadlens.operators import arima, capacity, forecast, recovery, scaleout
+from loadlens.operators import anomaly, arima, capacity, forecast, recovery, regression, scaleout
+from loadlens.operators.scan import running
 from loadlens.plans import tables as t
 
 
@@ -102,11 +103,119 @@ def situations(hours: DataFrame, settings: Settings, model: DataFrame | None = N
     )
 
 
-def plan(hours: DataFrame, settings: Settings, model: DataFrame | None = None) -> DataFrame:
+def residual_hours(job_rows: DataFrame) -> DataFrame:
+    """Workload less throughput; an hour without processed events reports no throughput."""
+    throughput = job_rows.filter("throughput > 0").select("job", "ts", "throughput")
+    rows = anomaly.residuals(job_rows.select("job", "ts", "workload"), throughput)
+    return rows.select("job", "ts", "residual")
+
+
+def rescale_epochs(facts: DataFrame) -> DataFrame:
+    """Loops `(job, loop, parallelism)` with `previous` and `before` (parallelism and number of
+    the loop before) and `epoch`, the rescales so far."""
+    slices = F.floor(F.col("loop") / regression.LOOPS_PER_SLICE)
+    linked = running(
+        facts.select("job", "loop", "parallelism"),
+        ["job"],
+        ["loop"],
+        slices,
+        {"previous": ("lag", F.col("parallelism")), "before": ("lag", F.col("loop"))},
+    )
+    changed = F.coalesce((F.col("parallelism") != F.col("previous")).cast("int"), F.lit(0))
+    return running(linked, ["job"], ["loop"], slices, {"epoch": ("sum", changed)})
+
+
+def rescale_feedback(
+    hours: DataFrame, found: DataFrame, settings: Settings, loop: Column, gap: int
+) -> DataFrame:
+    """Downtime to assume after each rescale: `(job, loop, epoch, direction, downtime)`.
+
+    What was predicted for the new scale-out, one loop before, is compared with the recovery
+    time observed until the next rescale: the mean length of its anomalies, scored by what was
+    known before each loop. A rescale without prediction teaches nothing.
+    """
+    job_rows = t.job_hours(hours)
+    epochs = session.materialise(rescale_epochs(t.loop_facts(job_rows)), "epochs")
+    rows = residual_hours(job_rows).withColumn("loop", loop)
+    rows = rows.join(epochs.select("job", "loop", "epoch"), ["job", "loop"])
+    rows = session.materialise(rows, "epoch-residuals")
+    known = anomaly.moments_before(rows).join(epochs.select("job", "loop", "epoch"), ["job", "loop"])
+    known = known.withColumns({c: F.round(c, 6) for c in ("mean", "std")})
+    flagged = anomaly.detect_anomalies(rows, known, ("job", "epoch"), gap, as_of=("loop",))
+    flagged = session.materialise(flagged, "epoch-anomalies")
+    seen = anomaly.observed_recovery_time(flagged, ("job", "epoch"), gap)
+    predicted = recovery.predict_recovery(found, settings.up_steps, settings.down_steps)
+    predicted = predicted.select(
+        "job",
+        F.col("loop").alias("before"),
+        F.col("scaleout").alias("parallelism"),
+        F.col("recovery_time").alias("predicted"),
+    )
+    rescales = (
+        epochs.filter(F.col("parallelism") != F.col("previous"))
+        .join(predicted.filter("predicted IS NOT NULL"), ["job", "before", "parallelism"])
+        .join(seen.select("job", "epoch", F.col("recovery_time").alias("observed")), ["job", "epoch"])
+        .select(
+            "job",
+            "loop",
+            "epoch",
+            F.when(F.col("parallelism") > F.col("previous"), "up").otherwise("down").alias("direction"),
+            "observed",
+            "predicted",
+        )
+    )
+    return recovery.adjust_downtime(rescales, settings.up_steps, settings.down_steps)
+
+
+def with_downtimes(found: DataFrame, feedback: DataFrame, settings: Settings) -> DataFrame:
+    """Situations with `up` and `down`, the downtimes that earlier rescales have taught.
+
+    A rescale's own recovery is known once the next one happens.
+    """
+    epochs = rescale_epochs(found).select("job", "loop", "epoch")
+    taught = feedback.select(
+        "job",
+        (F.col("epoch") + 1).alias("epoch"),
+        F.when(F.col("direction") == "up", F.col("downtime")).alias("__up"),
+        F.when(F.col("direction") == "down", F.col("downtime")).alias("__down"),
+    )
+    rows = epochs.join(taught, ["job", "epoch"], "left")
+    known = running(
+        rows,
+        ["job"],
+        ["loop"],
+        F.floor(F.col("loop") / regression.LOOPS_PER_SLICE),
+        {"up": ("last", F.col("__up")), "down": ("last", F.col("__down"))},
+    ).select(
+        "job",
+        "loop",
+        # A downtime that was corrected below nothing counts as none.
+        F.greatest(F.coalesce("up", F.lit(settings.up_steps)), F.lit(0)).cast("int").alias("up"),
+        F.greatest(F.coalesce("down", F.lit(settings.down_steps)), F.lit(0)).cast("int").alias("down"),
+    )
+    return found.join(known, ["job", "loop"])
+
+
+def plan(
+    hours: DataFrame,
+    settings: Settings,
+    model: DataFrame | None = None,
+    feedback_gap: int | None = None,
+) -> DataFrame:
+    """Decisions for all loops. With `feedback_gap` (rows that anomalies tolerate between
+    them) the assumed downtimes follow the observed recoveries."""
+    found = situations(hours, settings, model)
+    up, down = settings.up_steps, settings.down_steps
+    if feedback_gap is not None:
+        found = session.materialise(found, "situations")
+        loop = F.floor(F.unix_seconds("ts") / settings.loop_seconds).cast("bigint")
+        feedback = rescale_feedback(hours, found, settings, loop, feedback_gap)
+        found = with_downtimes(found, session.materialise(feedback, "feedback"), settings)
+        up, down = F.col("up"), F.col("down")
     return scaleout.plan_scaleout(
-        situations(hours, settings, model),
-        up=settings.up_steps,
-        down=settings.down_steps,
+        found,
+        up=up,
+        down=down,
         stabilise=settings.stabilise_seconds,
         calm=settings.calm_seconds,
         target_recovery=settings.target_steps,

@@ -54,11 +54,7 @@ FLAGGED = f"""{RESIDUALS},
 
 
 def _residuals(spark: SparkSession, sf: str) -> DataFrame:
-    rows = t.job_hours(fleet.reduced_hours(spark, sf))
-    workload = rows.select("job", "ts", "workload")
-    # An hour without processed events reports no throughput at all.
-    throughput = rows.filter("throughput > 0").select("job", "ts", "throughput")
-    return anomaly.residuals(workload, throughput).select("job", "ts", "residual")
+    return fleet.residual_hours(t.job_hours(fleet.reduced_hours(spark, sf)))
 
 
 def _flagged(spark: SparkSession, sf: str) -> DataFrame:
@@ -593,8 +589,9 @@ def fleet_plan_level(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("fleet_plan")
 def fleet_plan(spark: SparkSession, sf: str) -> DataFrame:
-    """The plan under ARIMA forecasts, scored loop by loop against the trend."""
-    planned = fleet.plan(fleet.reduced_hours(spark, sf), SET)
+    """The plan under ARIMA forecasts, scored loop by loop against the trend, with downtimes
+    that follow the observed recoveries."""
+    planned = fleet.plan(fleet.reduced_hours(spark, sf), SET, feedback_gap=GAP)
     return planned.select("job", "loop", "parallelism", "source", "reason", "target")
 
 
@@ -676,30 +673,52 @@ def arima_lagged_products(spark: SparkSession, sf: str) -> DataFrame:
     "adjust_downtime",
     with_tables(
         FACTS,
-        """, rescales AS (
-               SELECT *, CASE WHEN parallelism > prev THEN 'up' ELSE 'down' END AS direction
-               FROM (SELECT *, lag(parallelism) OVER (PARTITION BY job ORDER BY loop) AS prev FROM loop_facts)
-               WHERE parallelism <> prev)
-           SELECT job, loop, direction,
-                  CAST(CASE direction WHEN 'up' THEN 30 ELSE 15 END
-                       + sum(CASE WHEN max_workload > 2 * avg_workload THEN 1 ELSE -1 END)
-                         OVER (PARTITION BY job, direction ORDER BY loop) AS BIGINT) AS downtime
-           FROM rescales""",
+        f""", {SITUATIONS}, {RESIDUALS.lstrip()},
+            looped AS (SELECT *, {LOOP_OF_TS} AS loop FROM residuals),
+            moments_known AS (
+                SELECT DISTINCT job, loop, round(avg(residual) OVER w, 6) AS mean,
+                       round(stddev_pop(residual) OVER w, 6) AS std
+                FROM looped WINDOW w AS (PARTITION BY job ORDER BY loop
+                                         RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+            epochs AS (
+                SELECT *, sum(CASE WHEN parallelism <> prev THEN 1 ELSE 0 END)
+                            OVER (PARTITION BY job ORDER BY loop) AS epoch
+                FROM (SELECT job, loop, parallelism, lag(parallelism) OVER w AS prev, lag(loop) OVER w AS before
+                      FROM loop_facts WINDOW w AS (PARTITION BY job ORDER BY loop))),
+            epoch_flags AS (
+                SELECT job, epoch, ts, max(raw) OVER (PARTITION BY job, epoch ORDER BY ts
+                                                      ROWS BETWEEN {GAP} PRECEDING AND CURRENT ROW) AS anomaly
+                FROM (SELECT job, epoch, ts, coalesce(CAST(abs(residual - mean) > std AS INTEGER), 0) AS raw
+                      FROM looped JOIN moments_known USING (job, loop) JOIN epochs USING (job, loop))),
+            epoch_runs AS (
+                SELECT job, epoch, sum(anomaly) - {GAP} AS excess
+                FROM (SELECT *, sum(changed) OVER (PARTITION BY job, epoch ORDER BY ts) AS run
+                      FROM (SELECT *, CASE WHEN anomaly = lag(anomaly) OVER (PARTITION BY job, epoch ORDER BY ts)
+                                           THEN 0 ELSE 1 END AS changed FROM epoch_flags))
+                GROUP BY job, epoch, run HAVING sum(anomaly) - {GAP} > 0),
+            seen AS (
+                SELECT job, epoch, coalesce(avg(excess), 0) AS observed
+                FROM (SELECT DISTINCT job, epoch FROM epochs) LEFT JOIN epoch_runs USING (job, epoch)
+                GROUP BY 1, 2),
+            feed AS (
+                SELECT e.job, e.loop, CASE WHEN e.parallelism > prev THEN 'up' ELSE 'down' END AS direction,
+                       observed, r.recovery_time AS predicted
+                FROM epochs e JOIN seen s ON s.job = e.job AND s.epoch = e.epoch
+                JOIN recovery r ON r.job = e.job AND r.loop = e.before AND r.scaleout = e.parallelism
+                WHERE e.parallelism <> prev AND r.recovery_time IS NOT NULL)
+            SELECT job, loop, direction,
+                   CAST(CASE direction WHEN 'up' THEN {SET.up_steps} ELSE {SET.down_steps} END
+                        + sum(CASE WHEN observed > predicted THEN 1 ELSE -1 END)
+                          OVER (PARTITION BY job, direction ORDER BY loop) AS BIGINT) AS downtime
+            FROM feed""",
     ),
 )
 def adjust_downtime(spark: SparkSession, sf: str) -> DataFrame:
-    facts = t.loop_facts(t.job_hours(fleet.reduced_hours(spark, sf)))
-    linked = running(
-        facts, ["job"], ["loop"], F.floor(F.col("loop") / 4096), {"prev": ("lag", F.col("parallelism"))}
-    )
-    rescales = linked.filter(F.col("parallelism") != F.col("prev")).select(
-        "job",
-        "loop",
-        F.when(F.col("parallelism") > F.col("prev"), "up").otherwise("down").alias("direction"),
-        F.col("max_workload").alias("observed"),
-        (2 * F.col("avg_workload")).alias("predicted"),
-    )
-    return recovery.adjust_downtime(rescales).select("job", "loop", "direction", "downtime")
+    """Downtimes after each rescale, from predicted and observed recovery."""
+    found = session.materialise(_level_situations(spark, sf), "situations")
+    loop = F.floor(F.unix_seconds("ts") / SET.loop_seconds).cast("bigint")
+    taught = fleet.rescale_feedback(fleet.reduced_hours(spark, sf), found, SET, loop, GAP)
+    return taught.select("job", "loop", "direction", F.col("downtime").cast("bigint").alias("downtime"))
 
 
 @query("arima_forecast")

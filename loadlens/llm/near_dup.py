@@ -18,7 +18,7 @@ from loadlens.llm.batches import WordCoder, blocks, mix, spaced_words, word_span
 from loadlens.llm.components import components
 
 # Rows up to which a table of ids is broadcast; longer ones are joined by shuffle.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 2_000_000
 # Counters of shingle frequencies, a table of fixed size.
 FREQUENCY_BITS = 20
 # Shingles in a block of documents that is compared with other blocks.
@@ -30,13 +30,13 @@ class Similarity:
     """What counts as near: `percent` of the union of two sets of `shingle`-word shingles.
 
     A pair at the limit s is missed by all tables with probability of at most
-    2 * (1 - s**depth)**tables, 1.5e-5 as set here; for closer pairs it falls fast.
+    2 * (1 - s**depth)**tables, 2.2e-5 as set here; for closer pairs it falls fast.
     """
 
     shingle: int = 3
     percent: int = 85
-    tables: int = 16
-    depth: int = 4
+    tables: int = 12
+    depth: int = 3
 
 
 class Signer:
@@ -48,6 +48,8 @@ class Signer:
     """
 
     def __init__(self, shingle: int, tables: int, depth: int) -> None:
+        if tables > 128:
+            raise ValueError("a half's place takes one byte")
         self.shingle, self.tables, self.depth = shingle, tables, depth
         rng = np.random.default_rng(97)
         count = 2 * tables * depth
@@ -84,7 +86,10 @@ class Signer:
         return codes[fresh], kept[cuts]
 
     def halves(self, codes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-        """The 2 * tables half codes of every set that is not empty, one row each."""
+        """The 2 * tables half codes of every set that is not empty, one row each.
+
+        The lowest byte of a code is the place of its half.
+        """
         begins = cuts[:-1][np.diff(cuts) > 0]
         result = np.zeros((len(begins), 2 * self.tables), dtype=np.uint64)
         for place in range(2 * self.tables):
@@ -92,7 +97,7 @@ class Signer:
             for one in range(place * self.depth, (place + 1) * self.depth):
                 ranks = (codes ^ self.masks[one]) * self.factors[one]
                 half = mix(half + np.minimum.reduceat(ranks, begins)) if len(begins) else half
-            result[:, place] = half
+            result[:, place] = (half << np.uint64(8)) | np.uint64(place)
         return result
 
 
@@ -199,17 +204,18 @@ def band_keys(reps: DataFrame, like: Similarity) -> DataFrame:
     A document can meet another in table (i, j) only if both halves are shared, so halves
     that no other document has are left out before they are paired.
     """
-    halves = reps.select("rep", F.posexplode("halves").alias("place", "half"))
+    halves = reps.select("rep", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half")
     shared = session.materialise(shared, "shared-halves")
     met = halves.join(shared, "half", "left_semi").groupBy("rep").agg(
-        F.collect_list(F.struct("place", "half")).alias("met")  # two times `tables` at most
+        F.collect_list("half").alias("met")  # two times `tables` at most
     )
 
-    def side(test) -> Column:
-        return F.transform(F.filter("met", lambda m: test(m["place"])), lambda m: m["half"])
+    def place(half: Column) -> Column:
+        return half.bitwiseAND(F.lit(255))
 
-    first, second = side(lambda p: p < like.tables), side(lambda p: p >= like.tables)
+    first = F.filter("met", lambda h: place(h) < like.tables)
+    second = F.filter("met", lambda h: place(h) >= like.tables)
     pairs = met.select("rep", first.alias("first"), second.alias("second")).select(
         "rep", F.explode("first").alias("one"), "second"
     )
@@ -217,12 +223,25 @@ def band_keys(reps: DataFrame, like: Similarity) -> DataFrame:
     return pairs.select(F.xxhash64("one", "two").alias("key"), "rep")
 
 
+def _small(ids: DataFrame) -> DataFrame:
+    """A written table of ids and the like, marked for broadcast if it is short enough."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of documents whose full sets are near enough."""
-    left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("left"))
-    right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("right"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
-    return both.mapInArrow(_confirm(percent), "a long, b long")
+    """Pairs (a, b) of documents whose full sets are near enough.
+
+    Only sets that some pair needs move. `a` is the first member of a bucket, so fewer sets
+    are an `a` than a `b`: those of `b` travel with their pair.
+    """
+
+    def needed(side: str, name: str) -> DataFrame:
+        ids = session.materialise(pairs.select(F.col(side).alias("id")).distinct(), "pair-ids")
+        own = sets.join(_small(ids), F.col("rep") == F.col("id"), "left_semi")
+        return own.select(F.col("rep").alias(side), F.col("shingles").alias(name))
+
+    both = pairs.join(needed("b", "right"), "b").join(needed("a", "left"), "a")
+    return both.select("a", "b", "left", "right").mapInArrow(_confirm(percent), "a long, b long")
 
 
 def _count_shingles(bits: int):
@@ -322,14 +341,14 @@ def _left_over(
     Only links between different labels are looked for, and only they are returned.
     """
     spark = keys.sparkSession
-    labelled = keys.join(labels, "rep")
+    labelled = keys.join(_small(labels), "rep")
     mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     mixed = session.materialise(mixed.where("low < high").select("key"), "mixed-buckets")
     open_reps = keys.join(mixed, "key", "left_semi").select("rep").distinct()
     open_reps = session.materialise(open_reps.join(labels, "rep"), "open-documents")
     if open_reps.isEmpty():
         return None
-    rows = session.materialise(sets.join(open_reps, "rep"), "open-sets")
+    rows = session.materialise(sets.join(_small(open_reps), "rep"), "open-sets")
     counted = rows.select("shingles").mapInArrow(_count_shingles(FREQUENCY_BITS), "counter long, n long")
     counted = counted.groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(1 << FREQUENCY_BITS, dtype=np.int64)
@@ -350,14 +369,20 @@ def _left_over(
     # Sets whose sizes are further apart than one class can't be near.
     width = -math.log(percent / 100)
     n = F.octet_length("shingles") / 8
-    member = rows.join(clusters, F.col("rep") == F.col("node")).select(
+    member = rows.join(_small(clusters), F.col("rep") == F.col("node")).select(
         "component", "rep", "label", "shingles", F.floor(F.log(n) / width).alias("class"), n.alias("n")
     )
+    # A cluster that fits one block needs no classes.
+    totals = member.groupBy("component").agg((F.sum("n") <= BLOCK_SHINGLES).alias("fits"))
+    totals = session.materialise(totals, "cluster-totals")
+    member = member.join(_small(totals), "component").withColumn(
+        "class", F.when(F.col("fits"), F.lit(0).cast("long")).otherwise(F.col("class"))
+    )
     sizes = member.groupBy("component", "class").agg(
         F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("long").alias("parts")
     )
     sizes = session.materialise(sizes, "cluster-sizes")
-    placed = member.join(sizes, ["component", "class"]).select(
+    placed = member.join(_small(sizes), ["component", "class"]).select(
         "component",
         "class",
         F.pmod(F.xxhash64("rep"), F.col("parts")).alias("part"),
@@ -373,20 +398,23 @@ def _left_over(
     )
     slim = blocks_.select("block", "component", "class", "low", "high")
     left, right = slim.alias("l"), slim.alias("r")
-    # Each class meets itself and the next one; the smaller block comes first within a class.
+    # Each block is compared with itself where it lies. Across blocks, each class meets itself
+    # and the next one; the smaller block comes first within a class.
+    own = blocks_.where("low < high").select(F.col("members").alias("left"), F.col("members").alias("right"))
     steps = left.withColumn("other", F.explode(F.array(F.col("class"), F.col("class") + 1)))
     pairs = steps.join(
         right,
         (F.col("l.component") == F.col("r.component"))
         & (F.col("other") == F.col("r.class"))
-        & ((F.col("l.class") < F.col("r.class")) | (F.col("l.block") <= F.col("r.block"))),
+        & ((F.col("l.class") < F.col("r.class")) | (F.col("l.block") < F.col("r.block"))),
     ).where((F.least("l.low", "r.low") < F.greatest("l.high", "r.high")))
     pairs = session.materialise(
         pairs.select(F.col("l.block").alias("x"), F.col("r.block").alias("y")), "block-pairs"
     )
     full = blocks_.select("block", "members")
     both = pairs.join(full.toDF("x", "left"), "x").join(full.toDF("y", "right"), "y")
-    return both.select("left", "right").mapInArrow(_compare_blocks(percent), "a long, b long")
+    both = both.select("left", "right").union(own)
+    return both.mapInArrow(_compare_blocks(percent), "a long, b long")
 
 
 def near_duplicates(documents: DataFrame, like: Similarity | None = None) -> DataFrame:
@@ -412,23 +440,40 @@ def near_duplicates(documents: DataFrame, like: Similarity | None = None) -> Dat
     signed = documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sign(like), SIGNED)
     signed = session.materialise(signed, "signatures")
     known = signed.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
-    reps = known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("halves").alias("halves"))
+    reps = known.groupBy("digest").agg(
+        F.min("doc_id").alias("rep"),
+        F.first("halves").alias("halves"),
+    )
     reps = session.materialise(reps, "classes")
 
     keys = session.materialise(band_keys(reps, like), "band-keys")
     centers = keys.groupBy("key").agg(F.min("rep").alias("center"), F.max("rep").alias("last"))
     centers = session.materialise(centers.where("center < last").select("key", "center"), "centers")
     keys = session.materialise(keys.join(centers, "key"), "buckets")
-    stars = session.materialise(
-        keys.select(F.col("center").alias("a"), F.col("rep").alias("b")).where("a < b").distinct(),
-        "stars",
-    )
+    stars = keys.select(F.col("center").alias("a"), F.col("rep").alias("b")).where("a < b").distinct()
+    stars = session.materialise(stars, "stars")
     ids = session.materialise(keys.select(F.col("rep").alias("doc_id")).distinct(), "met-ids")
     texts = _apart(documents.select(F.col("doc_id").cast("long"), "text"), ids, "left_semi")
     sets = texts.mapInArrow(_write_sets(like), SETS)
-    # Of rows that repeat an id, each set once.
-    sets = sets.where(F.octet_length("shingles") > 0).dropDuplicates(["rep", "digest"])
-    sets = session.materialise(sets, "sets")
+    sets = session.materialise(sets.where(F.octet_length("shingles") > 0), "sets")
+    again = sets.groupBy("rep", "digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if not again.isEmpty():  # of rows that repeat an id, each set once
+        sets = session.materialise(sets.dropDuplicates(["rep", "digest"]), "sets")
+    # Sets that differ too much in size need no look.
+    sizes = sets.groupBy("rep").agg(
+        F.min(F.octet_length("shingles")).alias("least"), F.max(F.octet_length("shingles")).alias("most")
+    )
+    sizes = _small(session.materialise(sizes, "set-sizes"))
+    alike = (100 * F.col("p.most") >= like.percent * F.col("q.least")) & (
+        100 * F.col("q.most") >= like.percent * F.col("p.least")
+    )
+    stars = (
+        stars.join(sizes.alias("p"), F.col("a") == F.col("p.rep"))
+        .join(sizes.alias("q"), F.col("b") == F.col("q.rep"))
+        .where(alike)
+        .select("a", "b")
+    )
+    stars = session.materialise(stars, "stars-alike")
 
     links = session.materialise(confirmed(stars, sets, like.percent), "links")
     groups = session.materialise(components(links), "components")

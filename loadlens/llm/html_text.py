@@ -73,9 +73,11 @@ ATTRIBUTE = re.compile(
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 CUT_OFF = re.compile(r"<[a-zA-Z/!][^>]*\Z")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
-# A page's container is its article or main element if that holds ARTICLE_SHARE of the page's
-# good text, else the deepest container that holds SHARE of it.
-ARTICLE_SHARE, SHARE = 0.4, 0.8
+# A block outside articles is repeated if it stands on this many rows of its host and on this
+# share of them; on a page that mostly consists of such blocks, a copy, none counts as repeated.
+REPEATED_ROWS, REPEATED_SHARE, COPY_SHARE = 3, 0.3, 0.5
+# Containers that are left out of a text when all their blocks are noise.
+LEFT_OUT = frozenset("div section".split())
 
 
 # Steps of a path that are written out; above them a digest stands for the rest.
@@ -109,6 +111,8 @@ class Block:
     """Text between two block boundaries, and its innermost container."""
 
     container: int
+    in_article: bool = False
+    title: bool = False
     parts: list[str] = field(default_factory=list)
     chars: int = 0
     link_chars: int = 0
@@ -116,6 +120,14 @@ class Block:
     def text(self) -> str:
         return " ".join("".join(self.parts).split())
 
+    def score(self) -> int:
+        """Length of good text: 0 for blocks of links, unless they are a title."""
+        return self.chars if self.title else max(0, self.chars - 2 * self.link_chars)
+
+    def digest(self) -> int:
+        own = hashlib.blake2b(self.text().encode("utf-8", "replace"), digest_size=8)
+        return int.from_bytes(own.digest(), "big", signed=True)
+
 
 def _attributes(raw: str) -> dict[str, str]:
     if not raw or raw.isspace():
@@ -173,7 +185,8 @@ def parse(page: str) -> tuple[list[Block], list[Container]]:
         nonlocal current
         if current.parts:
             blocks.append(current)
-        current = Block((stack[-1] if stack else root).container)
+        here = stack[-1] if stack else root
+        current = Block(here.container, articles > 0, here.tag == "h1")
 
     def pop(down_to: int) -> None:
         nonlocal articles
@@ -251,48 +264,100 @@ def parse(page: str) -> tuple[list[Block], list[Container]]:
     return blocks, containers
 
 
-def best_path(blocks: list[Block], containers: list[Container]) -> str | None:
-    """Path of the container that holds most of a page's text outside links."""
-    total = 0
-    for block in blocks:
-        score = max(0, block.chars - 2 * block.link_chars)
+def good_scores(blocks: list[Block], repeated: frozenset[int] = frozenset()) -> list[int]:
+    """Length of each block's good text: none in blocks of links, or repeated on the host."""
+    scores = [b.score() for b in blocks]
+    if not repeated:
+        return scores
+    left = [
+        n if not n or b.in_article or b.digest() not in repeated else 0
+        for b, n in zip(blocks, scores)
+    ]
+    return left if sum(left) >= (1 - COPY_SHARE) * sum(scores) else scores
+
+
+def summed(blocks: list[Block], containers: list[Container], scores: list[int]) -> int:
+    """Set the good text inside every container; return that of the page."""
+    for one in containers:
+        one.score = 0
+    for block, score in zip(blocks, scores):
         containers[block.container].score += score
-        total += score
-    scores: dict[tuple[int, str], int] = {}
     for one in reversed(containers[1:]):  # what lies inside comes after what is around it
         containers[one.parent].score += one.score
+    return containers[0].score
+
+
+def best_path(
+    blocks: list[Block], containers: list[Container], repeated: frozenset[int] = frozenset()
+) -> str | None:
+    """Deepest path that holds all good text of a page; None if only the page itself does."""
+    total = summed(blocks, containers, good_scores(blocks, repeated))
+    scores: dict[tuple[int, str], int] = {}
+    for one in containers[1:]:
         key = (one.depth, one.path)
         scores[key] = scores.get(key, 0) + one.score
-    articles = [k for k, n in scores.items() if n and n >= ARTICLE_SHARE * total and _is_article(k[1])]
-    held = articles or [k for k, n in scores.items() if n and n >= SHARE * total]
-    return max(held, default=(0, None))[1]
-
+    return max((k for k, n in scores.items() if n and n == total), default=(0, None))[1]
 
-def _is_article(path: str) -> bool:
-    return path.rpartition("/")[2].partition(".")[0] in ("article", "main")
 
+def text_under(
+    blocks: list[Block],
+    containers: list[Container],
+    path: str | None,
+    repeated: frozenset[int] = frozenset(),
+) -> str:
+    """Texts of the blocks under a path, joined by line ends; of all blocks without a path.
 
-def text_under(blocks: list[Block], containers: list[Container], path: str | None) -> str:
-    """Texts of the blocks under a path, joined by line ends; of all blocks without a path."""
-    inside = [path is None]
+    A div or section outside articles that holds blocks but no good text is left out, unless the
+    page has no good text at all.
+    """
+    total = summed(blocks, containers, good_scores(blocks, repeated))
+    inside, out = [path is None], [False]
     for one in containers[1:]:
         inside.append(inside[one.parent] or one.path == path)
-    return "\n".join(t for t in (b.text() for b in blocks if inside[b.container]) if t)
+        noise = total and not one.score and one.path.rpartition("/")[2].partition(".")[0] in LEFT_OUT
+        out.append(bool(noise) or out[one.parent])
+    return "\n".join(
+        t
+        for t in (
+            b.text()
+            for b in blocks
+            if inside[b.container] and (b.in_article or not out[b.container])
+        )
+        if t
+    )
 
 
-def extract(page: str, winner: str | None) -> tuple[str, bool]:
+def extract(
+    page: str, winner: str | None, repeated: frozenset[int] = frozenset()
+) -> tuple[str, bool]:
     """Main text by the host's path, or by the page's own where the host's leads to nothing."""
     blocks, containers = parse(page)
-    if winner is not None and (text := text_under(blocks, containers, winner)):
+    if winner is not None and (text := text_under(blocks, containers, winner, repeated)):
         return text, True
-    return text_under(blocks, containers, best_path(blocks, containers)), False
+    own = best_path(blocks, containers, repeated)
+    return text_under(blocks, containers, own, repeated), False
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct blocks of good text outside articles; one row without a digest per page."""
+    for batch in batches:
+        hosts, digests = [], []
+        for host, page in zip(batch.column("host").to_pylist(), batch.column("html")):
+            blocks, _ = parse(page.as_py() or "")
+            own = {b.digest() for b in blocks if not b.in_article and b.score()}
+            hosts += [host] * (len(own) + 1)
+            digests += [None, *own]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(hosts, pa.string()), pa.array(digests, pa.int64())], names=["host", "digest"]
+        )
 
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hosts, paths = [], []
-        for host, page in zip(batch.column("host"), batch.column("html")):
-            path = best_path(*parse(page.as_py() or ""))
+        known = batch.column("repeated").to_pylist()
+        for host, page, repeated in zip(batch.column("host"), batch.column("html"), known):
+            path = best_path(*parse(page.as_py() or ""), frozenset(repeated or ()))
             if path is not None:
                 hosts.append(host.as_py())
                 paths.append(path)
@@ -305,8 +370,9 @@ def _extract(keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, agreed = [], []
-            for page, winner in zip(batch.column("html"), batch.column("winner").to_pylist()):
-                text, by_host = extract(page.as_py() or "", winner)
+            told = zip(batch.column("winner").to_pylist(), batch.column("repeated").to_pylist())
+            for page, (winner, repeated) in zip(batch.column("html"), told):
+                text, by_host = extract(page.as_py() or "", winner, frozenset(repeated or ()))
                 texts.append(text)
                 agreed.append(by_host)
             columns = [*(batch.column(c) for c in keep), pa.array(texts, pa.string())]
@@ -322,14 +388,33 @@ def host_of(url: Column) -> Column:
     return url_parts(url)[0]
 
 
-def winning_paths(pages: DataFrame) -> DataFrame:
+def repeated_blocks(pages: DataFrame) -> DataFrame:
+    """host and repeated: digests of the blocks outside articles that many of its pages have.
+
+    A host has at most 1 / REPEATED_SHARE times as many as its pages have blocks on average.
+    Pages without a host tell nothing about each other.
+    """
+    rows = pages.select(host_of(F.col("url")).alias("host"), "html").where("host <> ''")
+    counts = rows.mapInArrow(_digests, "host string, digest long").groupBy("host", "digest").count()
+    told = counts.where(F.col("digest").isNull() | (F.col("count") >= REPEATED_ROWS))
+    told = session.materialise(told, "block-counts")
+    hosts = told.where("digest is null").select("host", F.col("count").alias("n"))
+    often = told.where("digest is not null").join(hosts, "host")
+    often = often.where(F.col("count") >= REPEATED_SHARE * F.col("n"))
+    return often.groupBy("host").agg(F.collect_list("digest").alias("repeated"))
+
+
+def winning_paths(pages: DataFrame, repeated: DataFrame | None = None) -> DataFrame:
     """host and winner: the container path that most pages of a host vote for.
 
-    Each page votes once, for the container that holds most of its text outside links and
-    dropped parts (see `best_path`). Of equal votes the deeper path wins, then the later one by code point.
-    Votes are counted before they move, whatever share of the pages a host has.
+    Each page votes once, for the smallest container that holds all its good text (see
+    `best_path`): text that is not dropped, not links, and not repeated on the host. Of equal
+    votes the deeper path wins, then the later one by code point. Votes are counted before they
+    move, whatever share of the pages a host has.
     """
-    rows = pages.select(host_of(F.col("url")).alias("host"), "html")
+    if repeated is None:
+        repeated = repeated_blocks(pages)
+    rows = pages.select(host_of(F.col("url")).alias("host"), "html").join(repeated, "host", "left")
     votes = rows.mapInArrow(_vote, "host string, path string").groupBy("host", "path").count()
     depth = F.size(F.split("path", "/"))
     return votes.groupBy("host").agg(
@@ -340,8 +425,9 @@ def winning_paths(pages: DataFrame) -> DataFrame:
 def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text and by_host (whether the host's path led to the text) of every page.
 
-    Two passes over the pages: the first votes on container paths per host, the second takes
-    the text under the winning path. Character references are decoded, white space inside a
+    Three passes over the pages: the first finds blocks that a host's pages repeat, the second
+    votes on container paths per host, the third takes the text under the winning path.
+    Character references are decoded, white space inside a
     block is one space, blocks are trimmed and joined by one line end, empty ones left out.
 
     Null and empty html give an empty text, as do pages without text outside dropped parts. A
@@ -349,9 +435,10 @@ def main_texts(pages: DataFrame) -> DataFrame:
     extracted each; an empty table gives no row; other columns are not read.
     """
     rows = pages.select("page_id", "url", "html")
-    winners = session.materialise(winning_paths(rows), "winning-paths")
-    winners = winners.withColumnRenamed("host", "of_host")
-    joined = rows.join(winners, host_of(F.col("url")) == F.col("of_host"), "left")
+    repeated = session.materialise(repeated_blocks(rows), "repeated-blocks")
+    winners = session.materialise(winning_paths(rows, repeated), "winning-paths")
+    hosts = winners.join(repeated, "host", "full").withColumnRenamed("host", "of_host")
+    joined = rows.join(hosts, host_of(F.col("url")) == F.col("of_host"), "left")
     fields = {f.name: f for f in rows.schema}
     schema = T.StructType(
         [

@@ -80,3 +80,28 @@ def test_any_text_parses():
         text = "".join(rng.choices(bits, k=40))
         parse(text)
         extract(text, "div")
+
+
+LONG = " ".join(f"word{i}" for i in range(80))
+WHOLE = {
+    f"<body><h1><a href='/t'>Title</a></h1><p>lead</p><div class=content><p>{LONG}</p></div></body>": f"Title\nlead\n{LONG}",
+    f"<main><article class=a>one {LONG}</article><article class=b>two {LONG}</article></main>": f"one {LONG}\ntwo {LONG}",
+    f"<body><div><a href=x>Menu</a> <a href=y>More</a></div><h1>T</h1><div><p>{LONG}</p></div></body>": f"T\n{LONG}",
+}
+
+
+@pytest.mark.parametrize("html", WHOLE, ids=range(len(WHOLE)))
+def test_all_good_text_of_a_page(html):
+    assert extract(html, None)[0] == WHOLE[html]
+
+
+def test_blocks_that_a_host_repeats_are_left_out(spark):
+    """An unmarked slogan goes where a host repeats it; what only one page has stays."""
+    body = "<body><div class=a><p>We are the best shop</p></div><h1>Title {0}</h1><div class=b>{1} {0}</div>{2}</body>"
+    rows = [(i, f"http://h.example/{i}", body.format(i, LONG, ""), "") for i in range(5)]
+    rows += [(5, "http://h.example/5", body.format(5, LONG, "<div class=z>a last remark</div>"), "")]
+    rows += [(6, "http://alone.example/", body.format(6, LONG, ""), "")]
+    texts = {r.page_id: r.text for r in main_texts(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(texts[i] == f"Title {i}\n{LONG} {i}" for i in range(5))
+    assert texts[5] == f"Title 5\n{LONG} 5\na last remark"
+    assert texts[6].startswith("We are the best shop\nTitle 6")

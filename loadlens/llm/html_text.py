@@ -5,7 +5,8 @@ from __future__ import annotations
 import hashlib
 import html
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -76,6 +77,10 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE
 # A block outside articles is repeated if it stands on this many rows of its host and on this
 # share of them; on a page that mostly consists of such blocks, a copy, none counts as repeated.
 REPEATED_ROWS, REPEATED_SHARE, COPY_SHARE = 3, 0.3, 0.5
+# A path is a host's if this many of its pages vote for it, and this share of them.
+PATH_VOTES, PATH_SHARE = 2, 0.02
+# Text that stands so often on a page does not speak against a path of the host without it.
+PAGE_REPEATS = 3
 # Containers that are left out of a text when all their blocks are noise.
 LEFT_OUT = frozenset("div section".split())
 
@@ -327,15 +332,42 @@ def text_under(
     )
 
 
+def host_path(
+    blocks: list[Block],
+    containers: list[Container],
+    paths: Sequence[str],
+    repeated: frozenset[int] = frozenset(),
+) -> str | None:
+    """Deepest of a host's paths that holds all good text of a page, None if none does.
+
+    Only text that stands PAGE_REPEATS times on the page or more may be outside of it.
+    """
+    found = {one.path for one in containers[1:]}.intersection(paths)
+    if not found:
+        return None
+    texts = [b.text() for b in blocks]
+    times = Counter(texts)
+    scores = [
+        n if times[t] < PAGE_REPEATS else 0 for t, n in zip(texts, good_scores(blocks, repeated))
+    ]
+    total = summed(blocks, containers, scores)
+    held: dict[tuple[int, str], int] = {}
+    for one in containers[1:]:
+        if one.path in found:
+            key = (one.depth, one.path)
+            held[key] = held.get(key, 0) + one.score
+    return max((k for k, n in held.items() if n and n == total), default=(0, None))[1]
+
+
 def extract(
-    page: str, winner: str | None, repeated: frozenset[int] = frozenset()
+    page: str, paths: Sequence[str] | str | None, repeated: frozenset[int] = frozenset()
 ) -> tuple[str, bool]:
-    """Main text by the host's path, or by the page's own where the host's leads to nothing."""
+    """Main text by a path of the host, or by the page's own where the host's lose good text."""
     blocks, containers = parse(page)
-    if winner is not None and (text := text_under(blocks, containers, winner, repeated)):
-        return text, True
-    own = best_path(blocks, containers, repeated)
-    return text_under(blocks, containers, own, repeated), False
+    paths = (paths,) if isinstance(paths, str) else paths or ()
+    agreed = host_path(blocks, containers, paths, repeated)
+    path = agreed or best_path(blocks, containers, repeated)
+    return text_under(blocks, containers, path, repeated), agreed is not None
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,9 +402,9 @@ def _extract(keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, agreed = [], []
-            told = zip(batch.column("winner").to_pylist(), batch.column("repeated").to_pylist())
-            for page, (winner, repeated) in zip(batch.column("html"), told):
-                text, by_host = extract(page.as_py() or "", winner, frozenset(repeated or ()))
+            told = zip(batch.column("paths").to_pylist(), batch.column("repeated").to_pylist())
+            for page, (paths, repeated) in zip(batch.column("html"), told):
+                text, by_host = extract(page.as_py() or "", paths, frozenset(repeated or ()))
                 texts.append(text)
                 agreed.append(by_host)
             columns = [*(batch.column(c) for c in keep), pa.array(texts, pa.string())]
@@ -405,39 +437,50 @@ def repeated_blocks(pages: DataFrame) -> DataFrame:
 
 
 def winning_paths(pages: DataFrame, repeated: DataFrame | None = None) -> DataFrame:
-    """host and winner: the container path that most pages of a host vote for.
+    """host, winner and paths: the container paths that the pages of a host vote for.
 
     Each page votes once, for the smallest container that holds all its good text (see
-    `best_path`): text that is not dropped, not links, and not repeated on the host. Of equal
-    votes the deeper path wins, then the later one by code point. Votes are counted before they
-    move, whatever share of the pages a host has.
+    `best_path`): text that is not dropped, not links, and not repeated on the host. `winner` has
+    most votes; of equal votes the deeper path wins, then the later one by code point. `paths` has
+    the winner and every path with enough votes, at most 1 / PATH_SHARE and one. Pages without a
+    host agree on nothing. Votes are counted before they move, whatever share of the pages a host
+    has.
     """
     if repeated is None:
         repeated = repeated_blocks(pages)
-    rows = pages.select(host_of(F.col("url")).alias("host"), "html").join(repeated, "host", "left")
+    rows = pages.select(host_of(F.col("url")).alias("host"), "html").where("host <> ''")
+    rows = rows.join(repeated, "host", "left")
     votes = rows.mapInArrow(_vote, "host string, path string").groupBy("host", "path").count()
+    votes = session.materialise(votes, "path-votes")
     depth = F.size(F.split("path", "/"))
-    return votes.groupBy("host").agg(
-        F.max_by("path", F.struct("count", depth, F.col("path"))).alias("winner")
+    hosts = votes.groupBy("host").agg(
+        F.max_by("path", F.struct("count", depth, F.col("path"))).alias("winner"),
+        F.sum("count").alias("n"),
     )
+    often = votes.where(F.col("count") >= PATH_VOTES).join(hosts, "host")
+    often = often.where(F.col("count") >= PATH_SHARE * F.col("n"))
+    often = often.groupBy("host").agg(F.collect_list("path").alias("often"))
+    paths = F.array_union(F.array("winner"), F.coalesce("often", F.array().cast("array<string>")))
+    return hosts.join(often, "host", "left").select("host", "winner", paths.alias("paths"))
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and by_host (whether the host's path led to the text) of every page.
+    """page_id, url, text and by_host (whether a path of the host led to the text) of every page.
 
     Three passes over the pages: the first finds blocks that a host's pages repeat, the second
-    votes on container paths per host, the third takes the text under the winning path.
+    votes on container paths per host, the third takes the text under the deepest path of the
+    host that holds all good text of the page, else under the page's own.
     Character references are decoded, white space inside a
     block is one space, blocks are trimmed and joined by one line end, empty ones left out.
 
     Null and empty html give an empty text, as do pages without text outside dropped parts. A
-    null URL, or one without `://`, belongs to the empty host. Repeated rows vote and are
+    null URL, or one without `://`, has no host, and its page stands for itself. Repeated rows vote and are
     extracted each; an empty table gives no row; other columns are not read.
     """
     rows = pages.select("page_id", "url", "html")
     repeated = session.materialise(repeated_blocks(rows), "repeated-blocks")
-    winners = session.materialise(winning_paths(rows, repeated), "winning-paths")
-    hosts = winners.join(repeated, "host", "full").withColumnRenamed("host", "of_host")
+    hosts = winning_paths(rows, repeated).join(repeated, "host", "full")
+    hosts = session.materialise(hosts.withColumnRenamed("host", "of_host"), "winning-paths")
     joined = rows.join(hosts, host_of(F.col("url")) == F.col("of_host"), "left")
     fields = {f.name: f for f in rows.schema}
     schema = T.StructType(

@@ -105,3 +105,18 @@ def test_blocks_that_a_host_repeats_are_left_out(spark):
     assert all(texts[i] == f"Title {i}\n{LONG} {i}" for i in range(5))
     assert texts[5] == f"Title 5\n{LONG} 5\na last remark"
     assert texts[6].startswith("We are the best shop\nTitle 6")
+
+
+def test_two_templates_on_a_host(spark):
+    prose, article = "<body><div>prose {0} {1}</div>", "<body><div>Updated {0} May</div><article>{1} {0}</article>"
+    rows = [(i, f"http://h.example/{i}", prose.format(i, LONG), "") for i in range(6)]
+    rows += [(i, f"http://h.example/{i}", article.format(i, LONG), "") for i in range(6, 9)]
+    rows += [(i, None, prose.format(i, LONG), "") for i in range(9, 15)]
+    rows += [(15, "no scheme", article.format(15, LONG), "")]
+    pages = spark.createDataFrame(rows, SCHEMA)
+    (host,) = winning_paths(pages).collect()
+    assert (host.host, host.winner, sorted(host.paths)) == ("h.example", "body/div", ["body", "body/div"])
+    texts = {r.page_id: r.text for r in main_texts(pages).collect()}
+    assert texts[0] == f"prose 0 {LONG}" and texts[9] == f"prose 9 {LONG}"
+    for i in (6, 7, 8, 15):
+        assert texts[i] == f"Updated {i} May\n{LONG} {i}"

@@ -60,6 +60,19 @@ NOISE = frozenset(
     "widget widgets pagination pager paging skip hidden outbrain taboola complementary "
     "contentinfo search dialog form".split()
 )
+# Of these, the words of elements that often hold articles of their own.
+CARDS = frozenset(
+    "comment comments commentlist disqus reply replies respond responses discussion related "
+    "recommended recommendations promo promos outbrain taboola".split()
+)
+# In one class name, words after the first say what the element has; the second void the name.
+HAVING = frozenset("has with without no open overflow".split())
+STATES = frozenset("open opened closed enabled disabled".split())
+# A marked element is kept if it holds more than MOST of the page's good text; more than
+# NEARLY_ALL if the page has an article or main element elsewhere, or one around a card. A card
+# beside an article or main element goes.
+MOST, NEARLY_ALL = 0.5, 0.8
+LANDMARKS = ("main", "article", "h1")
 # Elements whose class names may say anything: they hold the page or the article.
 TRUSTED = frozenset("html body main article".split()) | HEADINGS
 
@@ -109,6 +122,31 @@ class Element:
     depth: int
     dropped: bool
     link: bool
+    mark: int = 0
+    landmark: int = 0
+
+
+@dataclass
+class Mark:
+    """An element that class words mark as noise (the first one stands for the page itself)."""
+
+    parent: int
+    card: bool = False
+    articles: int = 0  # article and main elements around it
+    score: int = 0  # good text, first its own, then with that of the marks inside
+    own: Counter = field(default_factory=Counter)  # landmarks in no mark inside
+    held: Counter = field(default_factory=Counter)
+    kept: bool = True
+
+
+@dataclass
+class Landmark:
+    """A main, article or h1 element, and the mark and the landmark around it."""
+
+    tag: str
+    mark: int
+    parent: int
+    chars: int = 0
 
 
 @dataclass
@@ -121,6 +159,7 @@ class Block:
     parts: list[str] = field(default_factory=list)
     chars: int = 0
     link_chars: int = 0
+    marked: list[tuple[int, int, bool]] = field(default_factory=list)  # part, mark, in a link
 
     def text(self) -> str:
         return " ".join("".join(self.parts).split())
@@ -144,7 +183,15 @@ def _attributes(raw: str) -> dict[str, str]:
 
 def _words(attributes: dict[str, str]) -> set[str]:
     named = " ".join(attributes.get(a, "") for a in ("class", "id", "role"))
-    return {w.lower() for w in WORD.findall(named)}
+    words = {w.lower() for w in WORD.findall(named)}
+    if HAVING.isdisjoint(words) and STATES.isdisjoint(words):
+        return words
+    told: set[str] = set()
+    for name in named.split():
+        own = [w.lower() for w in WORD.findall(name)]
+        if STATES.isdisjoint(own):
+            told.update(own[: next((i for i, w in enumerate(own) if w in HAVING), len(own))])
+    return told
 
 
 def generalise(tag: str, attributes: dict[str, str]) -> str:
@@ -160,17 +207,73 @@ def _step(path: str, depth: int, step: str) -> str:
     return f"{path}/{step}" if path else step
 
 
-def _is_noise(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
+def _is_dropped(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
     if tag in DROPPED or (tag == "header" and not in_article):
         return True
     if not attributes:
         return False
     if "hidden" in attributes or attributes.get("aria-hidden") == "true":
         return True
-    if HIDDEN.search(attributes.get("style", "")):
-        return True
-    noise = NOISE - {"header"} if in_article else NOISE
-    return tag not in TRUSTED and not noise.isdisjoint(_words(attributes))
+    return bool(HIDDEN.search(attributes.get("style", "")))
+
+
+def _noise_words(tag: str, attributes: dict[str, str], in_article: bool) -> frozenset[str]:
+    if not attributes or tag in TRUSTED:
+        return frozenset()
+    return (NOISE - {"header"} if in_article else NOISE) & _words(attributes)
+
+
+def _judge(blocks: list[Block], marks: list[Mark], landmarks: list[Landmark]) -> list[Block]:
+    """Blocks without the text of marked elements, but for those that hold the page's content.
+
+    A marked element is kept if it holds main, article or h1 elements and the page has none
+    elsewhere (but in marked elements beside it), or most of the page's good text.
+    """
+    for one in reversed(landmarks[1:]):
+        landmarks[one.parent].chars += one.chars
+        if one.chars:
+            marks[one.mark].own[one.tag] += 1
+    total = 0
+    for block in blocks:
+        total += block.score()
+        scores: Counter = Counter()
+        for part, mark, link in block.marked:
+            text = block.parts[part]
+            length = len(text) - text.count(" ")
+            scores[mark] += -length if link and not block.title else length
+        for mark, score in scores.items():
+            marks[mark].score += max(0, score)
+            total += max(0, score)
+    for one in marks:
+        one.held = Counter(one.own)
+    for one in reversed(marks[1:]):
+        marks[one.parent].score += one.score
+        marks[one.parent].held.update(one.held)
+    free = [Counter()]  # landmarks around each mark, and those beside it that are not marked
+    for one in marks[1:]:
+        around = marks[one.parent]
+        around_free = free[one.parent] + around.own
+        free.append(around_free)
+        if not around.kept:
+            one.kept = False
+            continue
+        elsewhere = around_free["main"] + around_free["article"] - one.articles > 0
+        part = NEARLY_ALL if elsewhere or (one.card and one.articles) else MOST
+        one.kept = (
+            any(one.held[tag] and not around_free[tag] for tag in ("main", "h1"))
+            or (one.held["article"] > 0 and not one.card and not elsewhere)
+            or (one.score > part * total and not (one.card and elsewhere))
+        )
+    for block in blocks:
+        for part, mark, link in block.marked:
+            text = block.parts[part]
+            if marks[mark].kept:
+                length = len(text) - text.count(" ")
+                block.chars += length
+                block.link_chars += length if link else 0
+            else:
+                block.parts[part] = ""
+    return [b for b in blocks if any(b.parts)]
 
 
 def parse(page: str) -> tuple[list[Block], list[Container]]:
@@ -182,6 +285,8 @@ def parse(page: str) -> tuple[list[Block], list[Container]]:
     containers = [Container("", 0, -1)]
     root = Element("", 0, "", 0, False, False)
     stack: list[Element] = []
+    marks = [Mark(-1)]
+    landmarks = [Landmark("", 0, -1)]
     articles = 0
     current = Block(0)
     at, size = 0, len(page)
@@ -204,6 +309,10 @@ def parse(page: str) -> tuple[list[Block], list[Container]]:
             told = html.unescape(text) if "&" in text else text
             current.parts.append(told)
             length = len(told) - told.count(" ")
+            landmarks[here.landmark].chars += length
+            if here.mark:
+                current.marked.append((len(current.parts) - 1, here.mark, here.link))
+                return
             current.chars += length
             if here.link:
                 current.link_chars += length
@@ -256,8 +365,16 @@ def parse(page: str) -> tuple[list[Block], list[Container]]:
         if tag in CONTAINER:
             containers.append(Container(path, depth, container))
             container = len(containers) - 1
-        dropped = parent.dropped or _is_noise(tag, attributes, articles > 0)
-        stack.append(Element(tag, container, path, depth, dropped, parent.link or tag == "a"))
+        dropped = parent.dropped or _is_dropped(tag, attributes, articles > 0)
+        mark, landmark = parent.mark, parent.landmark
+        if not dropped and (words := _noise_words(tag, attributes, articles > 0)):
+            marks.append(Mark(mark, not CARDS.isdisjoint(words), articles))
+            mark = len(marks) - 1
+        if not dropped and tag in LANDMARKS:
+            landmarks.append(Landmark(tag, mark, landmark))
+            landmark = len(landmarks) - 1
+        link = parent.link or tag == "a"
+        stack.append(Element(tag, container, path, depth, dropped, link, mark, landmark))
         articles += tag in ("article", "main")
         if block:
             flush()
@@ -266,6 +383,8 @@ def parse(page: str) -> tuple[list[Block], list[Container]]:
             at = end.end() if end else size
             pop(len(stack) - 1)
     flush()
+    if len(marks) > 1:
+        blocks = _judge(blocks, marks, landmarks)
     return blocks, containers
 
 

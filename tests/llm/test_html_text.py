@@ -120,3 +120,35 @@ def test_two_templates_on_a_host(spark):
     assert texts[0] == f"prose 0 {LONG}" and texts[9] == f"prose 9 {LONG}"
     for i in (6, 7, 8, 15):
         assert texts[i] == f"Updated {i} May\n{LONG} {i}"
+
+
+WRAPPERS = [
+    "<div class='wrapper has-sidebar'>", "<div class='post comments-open'>", "<div class=overflow-hidden>",
+    "<div id=page class='with-header sticky-menu'>", "<section class='search-engines'>", "<div class=sticky-menu><div class=ad-free>",
+]
+COMMENTS = f"<ol class=comments><li><article>{LONG} {LONG}</article></ol>"
+CONTENTS = {
+    f"<p>{LONG}</p>": LONG,
+    f"<h1>T</h1><p>{LONG}</p><div class=ad>Buy</div>": f"T\n{LONG}",
+    f"<article>{LONG}</article>{COMMENTS}<div class=menu>Menu</div>": LONG,
+    f"<main><div class=share>x</div>{LONG}</main>": LONG,
+}
+
+
+@pytest.mark.parametrize("content", CONTENTS, ids=range(len(CONTENTS)))
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+def test_noise_words_on_a_wrapper(wrapper, content):
+    page = f"<body><div class=topbar>Top of page</div>{wrapper}{content}</body>"
+    assert extract(page, None)[0] == CONTENTS[content]
+
+
+def test_noise_words_beside_the_article():
+    """Two wrapped articles stay; long comments, cookies and a marked span go."""
+    two = f"<main><div class=post-widget><article>a {LONG}</article></div><div class=post-widget><article>b {LONG}</article></div></main>"
+    assert extract(two, None)[0] == f"a {LONG}\nb {LONG}"
+    page = f"<article>Short <span class=ad>buy</span> one</article>{COMMENTS}<div class=cookies>We use cookies</div>"
+    assert extract(page, None)[0] == "Short one"
+    header = f"<div class=page-header><h1>Title</h1><ul class=breadcrumb><li>Home</ul></div><div>{LONG}</div>"
+    assert extract(header, None)[0] == f"Title\n{LONG}"
+    forum = f"<main><p>Thread</p><div class=discussion>{LONG}</div></main>"
+    assert extract(forum, None)[0] == f"Thread\n{LONG}"

@@ -31,7 +31,11 @@ FAMILIES = [
     ("lgpl", "lesser", "(?:gnu )?lesser general public licen[sc]e"),
     ("lgpl", "licen", "(?:gnu )?library general public licen[sc]e"),
     ("gpl", "licen", "(?:gnu )?general public licen[sc]e"),
-    ("gpl", "gpl", "(?:gnu )?a?l?gpl"),
+    ("agpl", "agpl", "(?:gnu )?agpl(?:v?[0-9]+)?"),
+    ("agpl", "affero", "(?:gnu )?affero gpl(?:v?[0-9]+)?"),
+    ("lgpl", "lgpl", "(?:gnu )?lgpl(?:v?[0-9]+)?"),
+    ("lgpl", "lesser", "(?:gnu )?lesser gpl(?:v?[0-9]+)?"),
+    ("gpl", "gpl", "(?:gnu )?gpl(?:v?[0-9]+)?"),
     ("gfdl", "documentation", "(?:gnu )?free documentation licen[sc]e"),
     ("apache", "apache", "apache(?: software)? licen[sc]e"),
     ("mit", "licen", "mit(?: x11| expat)? licen[sc]e"),
@@ -71,6 +75,81 @@ FAMILIES = [
     ("cc-by", "commons", "creative commons attribution"),
 ]
 
+# Ids and short names that name a license wherever they stand.
+FAMILIES += [
+    ("gfdl", "gfdl", "(?:gnu )?gfdl"),
+    ("apache", "apache", "apache (?:version |v ?)?2 0(?! [0-9])"),
+    ("bsd", "bsd", "(?:bsd [0-4] clause|(?:[0-4]|two|three|four) clause bsd|0bsd)"),
+    ("mpl", "mpl", "mpl ?(?:version |v ?)?(?:1 [01]|2(?: 0)?)"),
+    ("epl", "epl", "epl ?(?:version |v ?)?[12] 0"),
+    ("cddl", "cddl", "cddl"),
+    ("cpl", "cpl", "cpl (?:version |v ?)?1 0"),
+    ("eupl", "eupl", "eupl"),
+    ("artistic", "artistic", "artistic [12] 0"),
+    ("boost", "bsl", "bsl 1 0"),
+    ("ofl", "ofl", "(?:sil )?ofl 1 [01]"),
+    ("odbl", "odbl", "odbl"),
+    ("odc-by", "odc", "odc by"),
+]
+
+# Ids that are words of other meaning: label, keyword of the id by itself, id. They count in an
+# SPDX line, after `under` or `license`, before `licensed`, and beside another id in an
+# expression; without a keyword in an SPDX line alone.
+IDS = [
+    ("mit", "mit", "mit"),
+    ("isc", "isc", "isc"),
+    ("bsd", "bsd", "bsd"),
+    ("zlib", "zlib", "zlib"),
+    ("x11", "x11", "x11"),
+    ("postgresql", "", "postgresql"),
+    ("openssl", "", "openssl"),
+    ("python", "", "(?:psf|python) 2 0"),
+    ("apache", "", "apache 1 [01]"),
+    ("edl", "", "edl 1 0"),
+    ("ms-pl", "", "ms pl"),
+    ("ms-rl", "", "ms rl"),
+    ("ncsa", "", "ncsa"),
+    ("curl", "", "curl"),
+    ("icu", "", "icu"),
+    ("ruby", "", "ruby"),
+    ("vim", "", "vim"),
+    ("w3c", "", "w3c"),
+    ("php", "", "php 3 0[0-9]?"),
+    ("hpnd", "", "hpnd"),
+    ("libpng", "", "libpng(?: 2 0)?"),
+    ("unicode", "", "unicode (?:3 0|dfs 201[56])"),
+    ("blueoak", "", "blueoak 1 0 0"),
+    ("upl", "", "upl 1 0"),
+    ("afl", "", "afl [0-9] [0-9]"),
+    ("osl", "", "osl [0-9] [0-9]"),
+    ("ecl", "", "ecl [0-9] 0"),
+    ("sspl", "", "sspl 1 0"),
+    ("busl", "", "busl 1 1"),
+    ("cecill", "", "cecill [0-9bc]"),
+    ("mulanpsl", "", "mulanpsl [0-9] 0"),
+]
+AN_ID = (
+    "(?:mit|isc|bsd|0bsd|zlib|x11|unlicense|(?:a|l)?gpl(?:v?[0-9]+)?|apache 2 0|bsd [0-4] clause|"
+    "mpl 2 0|epl [12] 0|cddl|cc0|bsl 1 0)(?![^ ])"
+)
+# Looks back only, so it adds no words to a match.
+AFTER_AN_ID = "|".join(
+    rf"(?<=\b{end}\s{operator}\s)"
+    for end in ("[01]", "(?:mit|isc|bsd)", "(?:only|zlib)", "(?:later|gplv[23])", "clause", "(?:exception|unlicense)")
+    for operator in ("or", "and")
+)
+# What follows `under the MIT` where it is not about a license.
+NOT_OWN = "(?! (?:umbrella|roof|name|banner|logo|brand|press|professors?|deans?|president|programs?|programme|auspices|labels?|domes?|campus|tracks?))"
+ID_FORMS = [
+    (1, 0.95, "(?:licen[sc]ed|released|distributed|available|published|provided|covered) under (?:the |an? )?(?:terms of (?:the )?)?{name}{not_own}"),
+    (2, 0.8, "under (?:the |an? )?(?:terms of (?:the )?)?{name}{not_own}"),
+    (2, 0.85, "{name} licen[sc]ed"),
+    (2, 0.85, "licen[sc]es?(?: is| type)? {name}"),
+    (2, 0.85, "{name}(?= (?:or|and) {an_id})"),
+    (2, 0.85, "{name}(?= apache 2 0)"),
+    (2, 0.85, "(?:{after}){name}"),
+]
+
 # How a license is named, from most to least telling: priority, score, form around the name.
 FORMS = [
     (0, 1.0, "spdx licen[sc]e identifier {name}"),
@@ -90,6 +169,26 @@ NOTICES = [
     ("isc", "permission", 0, 0.9, "permission to use copy modify and or distribute this software"),
     ("bsd", "redistribution", 0, 1.0, "redistribution and use in source and binary forms"),
     ("copyright", "copyright", 3, 0.5, "copyright (?:c )?(?:19|20)[0-9]{{2}}"),
+    # Sentences of the licenses themselves.
+    ("apache", "applicable", 0, 0.95, "unless required by applicable law or agreed to in writing software distributed under the license is distributed"),
+    ("apache", "contributor", 0, 1.0, "subject to the terms and conditions of this license each contributor hereby grants to you"),
+    ("gpl", "freedom", 0, 0.9, "designed to take away your freedom to share and change"),
+    ("lgpl", "derivative", 0, 1.0, "a program that contains no derivative of any portion of the library but is designed to work with the library"),
+    ("agpl", "remotely", 0, 1.0, "users interacting with it remotely through a computer network"),
+    ("mit", "permission", 0, 0.9, "the above copyright notice and this permission notice shall be included in all copies or substantial portions"),
+    ("bsd", "endorse", 0, 0.95, "(?:names of its|its) contributors may be used to endorse or promote products"),
+    ("mpl", "licen", 0, 1.0, "covered software is provided under this license on an as is basis"),
+    ("zlib", "misrepresented", 0, 1.0, "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    ("boost", "hereby", 0, 1.0, "permission is hereby granted free of charge to any person or organization obtaining a copy"),
+    ("unlicense", "unencumbered", 0, 1.0, "this is free and unencumbered software released into the public domain"),
+    ("wtfpl", "fuck", 0, 0.9, "you just do what the fuck you want to"),
+    ("ofl", "font", 0, 0.9, "reserved font names?"),
+    ("cc0", "dedicated", 0, 0.9, "the person who associated a work with this deed has dedicated the work to the public domain"),
+    ("artistic", "package", 0, 0.95, "the intent of this document is to state the conditions under which a package may be copied"),
+    ("python", "psf", 0, 1.0, "psf hereby grants licensee a nonexclusive royalty free world wide license"),
+    ("openssl", "openssl", 0, 0.8, "this product includes software developed by the openssl project"),
+    ("postgresql", "permission", 0, 0.95, "distribute this software and its documentation for any purpose without fee and without a written agreement"),
+    ("gfdl", "invariant", 0, 0.95, "with no invariant sections no front cover texts and no back cover texts"),
 ]
 
 # No rule matches more words than this; rules run on this many words on each side of the words
@@ -118,6 +217,16 @@ def signature_rules() -> list[Rule]:
         for label, keyword, name in FAMILIES
         for priority, score, form in FORMS
     ]
+    rules += [
+        Rule(label, "spdx", 0, 1.0, f"spdx licen[sc]e identifier {name}") for label, _, name in IDS
+    ]
+    told = {"not_own": NOT_OWN, "an_id": AN_ID, "after": AFTER_AN_ID}
+    rules += [
+        Rule(label, keyword, priority, score, form.format(name=name, **told))
+        for label, keyword, name in IDS
+        if keyword
+        for priority, score, form in ID_FORMS
+    ]
     rules += [Rule(a, b, c, d, e.format()) for a, b, c, d, e in NOTICES]
     return sorted(rules, key=lambda r: r.priority)
 

@@ -504,24 +504,55 @@ def near_duplicates(documents: DataFrame, like: Similarity | None = None) -> Dat
 def drop_near_duplicates(documents: DataFrame, like: Similarity | None = None) -> DataFrame:
     """One document of each class of `near_duplicates`, with its own columns under any names.
 
-    Rows that repeat a doc_id count as one document here: one of them stays, or none. Rows
-    without doc_id, and texts without words, stay.
+    Rows that repeat a doc_id with other texts are documents of their own: the text with the
+    smallest SHA-256 goes by the id, the others by numbers that no id has, so that each is judged
+    alone. Of rows with the same id and text one counts, the smallest by its columns in their
+    order. Rows without doc_id stay, as do texts without words.
     """
-    judged = session.materialise(near_duplicates(documents, like), "near-duplicates")
-    rejected = judged.where(~F.col("kept")).select("doc_id").distinct()
-    rest = _apart(documents, session.materialise(rejected, "rejected"), "left_anti")
-    kept = judged.where(F.col("kept") & F.col("doc_id").isNotNull())
-    again = kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
-    again = session.materialise(again, "repeated")
+    node = "node"
+    while node in documents.columns:
+        node = "_" + node
+    number = F.col("doc_id").cast("long")
+    again = documents.where(number.isNotNull()).groupBy(number.alias("doc_id")).count()
+    again = session.materialise(again.where("count > 1").select("doc_id"), "repeated")
     if again.isEmpty():
-        return rest
-    once = _apart(rest, again, "left_semi").dropDuplicates(["doc_id"])
-    return _apart(rest, again, "left_anti").unionByName(once)
+        numbered = documents.withColumn(node, number)
+    else:
+        rest = _apart(documents, again, "left_anti").withColumn(node, number)
+        numbered = rest.unionByName(_number_texts(documents, again, node))
+    judged = near_duplicates(numbered.select(F.col(node).alias("doc_id"), "text"), like)
+    rejected = judged.where(~F.col("kept")).select("doc_id").distinct()
+    rejected = session.materialise(rejected, "rejected")
+    return _apart(numbered, rejected, "left_anti", node).drop(node)
 
 
-def _apart(documents: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+def _number_texts(documents: DataFrame, again: DataFrame, node: str) -> DataFrame:
+    """One row of each text of the ids in `again`, with a number of its own in `node`."""
+    fields = [F.col(f"`{c}`") for c in documents.columns]
+    order = [F.col(f"`{f.name}`") for f in documents.schema if not isinstance(f.dataType, T.MapType)]
+    texts = _apart(documents, again, "left_semi").groupBy(
+        F.col("doc_id").cast("long").alias("id"), F.sha2("text", 256).alias("digest")
+    )
+    texts = texts.agg(F.min_by(F.struct(*fields), F.struct(*order)).alias("row"))
+    texts = session.materialise(texts, "texts-of-ids")
+    # A null text is the smallest.
+    lead = texts.groupBy("id").agg(F.min(F.coalesce("digest", F.lit(""))).alias("lead"))
+    texts = texts.join(lead, "id").withColumn("digest", F.coalesce("digest", F.lit("")))
+    others = texts.where("digest <> lead").select("id", "digest").orderBy("id", "digest")
+    low, high = documents.agg(*(f(F.col("doc_id").cast("long")) for f in (F.min, F.max))).first()
+    numbers = others.rdd.zipWithIndex().map(lambda r: (*r[0], r[1]))
+    numbers = documents.sparkSession.createDataFrame(numbers, "id long, digest string, at long")
+    numbers = session.materialise(numbers, "numbers-of-texts")
+    above = high < (1 << 62)  # else there may be no room above all ids
+    number = F.lit(high + 1) + F.col("at") if above else F.lit(low - 1) - F.col("at")
+    texts = texts.join(numbers, ["id", "digest"], "left")
+    texts = texts.withColumn("number", F.coalesce(number, F.col("id")))
+    return texts.select("row.*", F.col("number").alias(node))
+
+
+def _apart(documents: DataFrame, ids: DataFrame, how: str, by: str = "doc_id") -> DataFrame:
     """Rows with or without an id in the written table `ids`, which is broadcast if small."""
     ids = ids.withColumnRenamed("doc_id", "id_of_row")
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    return documents.join(ids, F.col("doc_id") == F.col("id_of_row"), how)
+    return documents.join(ids, F.col(by) == F.col("id_of_row"), how)

@@ -102,3 +102,21 @@ def test_components(spark):
     want = {n: 3 for n in (3, 4, 5, 9)} | {10: 10, 11: 10} | {n: 20 for n in (20, 21, 22)}
     assert got == want | {100 + i: 100 for i in range(31)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_texts_under_one_id_are_judged_apart(documents):
+    def text(name):
+        return " ".join(f"{name}{i}" for i in range(60))
+
+    rows = [(3, text("a")), (5, text("a")), (5, text("b")), (7, text("c")), (7, text("d")), (7, text("d")),
+            (8, text("d")), (9, text("b") + " more"), (None, text("a")), (4, None), (4, ""), (4, "")]
+    for shuffled in (rows, rows[::-1]):
+        kept = near_dup.drop_near_duplicates(documents(shuffled))
+        assert kept.columns == documents([]).columns
+        got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+        texts = [t for _, t in got]
+        one_b = [t for t in texts if t in (text("b"), text("b") + " more")]
+        assert len(one_b) == 1 and len(got) == 7
+        assert (3, text("a")) in got and (5, text("a")) not in got and (None, text("a")) in got
+        assert (7, text("c")) in got and sum(t == text("d") for t in texts) == 1
+        assert got.count((4, None)) == 1 and got.count((4, "")) == 1

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loadlens.llm import (
     bloom_lm,
+    byte_bpe,
     chat,
     decontaminate,
     html_text,
@@ -232,3 +233,20 @@ def benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         decontaminate.is_contaminated(F.col("n_words"), n_hit).alias("contaminated"),
     )
+
+
+@query("op11_byte_bpe")
+def byte_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and what they decode to, as digests."""
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = byte_bpe.encode(documents, ranks, public_tokenizers.PATTERN, ["doc_id"])
+    decoded = byte_bpe.decode(encoded, ranks, ["doc_id", "ids"])
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("bytes", 256).alias("decoded_sha256"),
+    )

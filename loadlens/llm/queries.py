@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loadlens.llm import (
@@ -16,6 +16,7 @@ from loadlens.llm import (
     licenses,
     mixing,
     near_dup,
+    periodic_runs,
     quality,
     token_counts,
     url_rules,
@@ -250,3 +251,43 @@ def byte_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("bytes", 256).alias("decoded_sha256"),
     )
+
+
+def plant_period(documents: DataFrame) -> DataFrame:
+    """Texts of every tenth document, by checksum, with a periodic end."""
+    checksum = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    seed = F.floor(checksum / 10)
+
+    def planted(words: Column) -> Column:
+        n = F.size(words).cast("long")
+        begin = seed % n
+        period = 1 + F.floor((n - begin) / (3 + seed % 8))
+        tail = F.transform(
+            F.sequence(begin, n - 1), lambda i: words[(begin + (i - begin) % period).cast("int")]
+        )
+        whole = F.array_join(F.concat(F.slice(words, F.lit(1), begin.cast("int")), tail), " ")
+        return F.when(n > 0, whole).otherwise("")
+
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"))
+    text = F.when(checksum % 10 == 0, F.transform(F.array(words), planted)[0])
+    return documents.select("doc_id", F.coalesce(text, "text").alias("text"))
+
+
+@query("op13_periodic_runs")
+def repeated_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in every document, after planting some."""
+    planted = plant_period(table(spark, sf_dir, "documents"))
+    found = periodic_runs.find_runs(planted, ["doc_id"])
+    spelled = F.transform(
+        "runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    )
+    lines = F.transform(spelled, lambda line: F.concat(line, F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "strongest.*",
+        F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+        "n_words",
+    )

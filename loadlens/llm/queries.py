@@ -20,6 +20,7 @@ from loadlens.llm import (
     quality,
     token_counts,
     url_rules,
+    whitening,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -291,3 +292,9 @@ def repeated_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
         "n_words",
     )
+
+
+@query("op12_embedding_whitening")
+def embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened coordinates of every embedding, one row per component."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), ["vec_id"])

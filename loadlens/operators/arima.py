@@ -15,7 +15,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loadlens import session
 from loadlens.operators.scan import SLICE, epoch, running, time_slice, with_halo
 
 # Search limits and the 5 % points of the two unit-root tests.
@@ -24,9 +23,6 @@ KPSS_LIMIT, ADF_LIMIT = 0.463, -3.41
 LONG_AR = 12
 BLOCK_ROWS = 65536
 TAIL_ROWS = 128
-# Loops of history before the first fit, and rows of a block in which loops are forecast.
-FIRST_FIT = 8
-LOOP_ROWS = 4096
 
 
 def _lagged(x: np.ndarray, lags: int) -> np.ndarray:
@@ -255,7 +251,9 @@ def _damped(coefficients: np.ndarray) -> bool:
     return bool(np.all(np.abs(np.roots(np.r_[1.0, -coefficients])) < 0.999))
 
 
-def _pick_orders(mats: dict[str, np.ndarray]) -> tuple:
+def pick_orders(mats: dict[str, np.ndarray]) -> tuple:
+    """Orders p and q with the least information criterion, it, and the coefficients, from the
+    products `gram` of 1, MAX_P values, MAX_Q innovations before the value, and the value."""
     gram = _square(mats["gram"])
     m = max(gram[0, 0], 1.0)
     best = None
@@ -289,6 +287,19 @@ def _series(df: DataFrame, keys: Sequence[str], value: str, slice_by: Column | N
     )
 
 
+def _orders(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    longest = rows.agg(F.max("n")).first()[0] or 0
+    back = MAX_DIFF + max(_kpss_lags(longest), _adf_lags(longest)) + 1
+    return _solve(_block_sums(rows, keys, back, _test_sums), keys, "d int", _pick_difference)
+
+
+def difference_orders(
+    df: DataFrame, value: str = "workload", keys: Sequence[str] = ("job",), slice_by: Column | None = None
+) -> DataFrame:
+    """`(keys, d)`: the larger differencing order that the two unit-root tests ask for."""
+    return _orders(_series(df, keys, value, slice_by), keys)
+
+
 def fit_arima(
     df: DataFrame, value: str = "workload", keys: Sequence[str] = ("job",), slice_by: Column | None = None
 ) -> DataFrame:
@@ -301,9 +312,7 @@ def fit_arima(
     """
     keys = list(keys)
     rows = _series(df, keys, value, slice_by)
-    longest = rows.agg(F.max("n")).first()[0] or 0
-    back = MAX_DIFF + max(_kpss_lags(longest), _adf_lags(longest)) + 1
-    orders = _solve(_block_sums(rows, keys, back, _test_sums), keys, "d int", _pick_difference)
+    orders = _orders(rows, keys)
     plain = rows.select(*keys, "pos", "y").join(orders, keys)
     long = _solve(
         _block_sums(plain, keys, MAX_DIFF + LONG_AR, _long_sums),
@@ -317,7 +326,7 @@ def fit_arima(
         ),
         keys,
         "p int, q int, aic double, const double, ar array<double>, ma array<double>",
-        _pick_orders,
+        pick_orders,
     )
     made = orders.join(long, keys, "left").join(short, keys, "left")
     fitted = F.col("p").isNotNull()
@@ -386,120 +395,3 @@ def forecast_arima(
     )
     start = F.col("last_ts") + F.make_dt_interval(secs=F.lit(step))
     return made.select(*keys, start.alias("start"), "forecast")
-
-
-# --- one forecast per control loop ------------------------------------------------------
-
-
-def training_sets(
-    rows: DataFrame, keys: Sequence[str] = ("job",), first: int = FIRST_FIT
-) -> DataFrame:
-    """Rows of `(keys, loop, ts, ...)` once for each model they train, marked by `cutoff`.
-
-    A series is fitted anew whenever its history has doubled: after `first` loops, twice, four
-    times as many. A model sees the loops before its cutoff alone. All its training sets
-    together hold less than twice the rows of a series.
-    """
-    keys = list(keys)
-    span = rows.groupBy(*keys).agg(F.min("loop").alias("__first"), F.max("loop").alias("__last"))
-    age = F.col("loop") - F.col("__first")
-    cutoffs = F.transform(F.sequence(F.lit(0), F.lit(40)), lambda i: (first * F.pow(F.lit(2.0), i)).cast("bigint"))
-    mine = F.filter(cutoffs, lambda c: (c > age) & (c <= F.col("__last") - F.col("__first")))
-    return (
-        rows.join(span, keys)
-        .withColumn("cutoff", F.explode(mine))
-        .drop("__first", "__last")
-    )
-
-
-def fit_by_cutoff(
-    rows: DataFrame, value: str = "workload", keys: Sequence[str] = ("job",),
-    slice_by: Column | None = None, first: int = FIRST_FIT,
-) -> DataFrame:
-    """One model per series and cutoff, with the mean `level` of its own training rows."""
-    sets = training_sets(rows, keys, first)
-    sets = session.materialise(sets.select(*keys, "cutoff", "ts", value), "arima-training")
-    level = sets.groupBy(*keys, "cutoff").agg(F.avg(value).alias("level"))
-    return fit_arima(sets, value, [*keys, "cutoff"], slice_by).join(level, [*keys, "cutoff"])
-
-
-def forecast_loops(
-    rows: DataFrame,
-    models: DataFrame,
-    horizon: int = 900,
-    value: str = "workload",
-    keys: Sequence[str] = ("job",),
-    step: int = 1,
-    slice_by: Column | None = None,
-    first: int = FIRST_FIT,
-) -> DataFrame:
-    """`(keys, loop, start, forecast)` for every loop that a model was there for.
-
-    A loop is forecast by the newest model whose cutoff it has reached, from the state that
-    the rows up to its own end leave; nothing later has any influence. Loops are worked off in
-    blocks of positions that repeat the few rows before them.
-    """
-    keys = list(keys)
-    slice_by = time_slice(epoch(F.col("ts")), 86400) if slice_by is None else slice_by
-    age = F.col("loop") - F.col("__first")
-    numbered = running(
-        rows.select(*keys, "loop", "ts", F.col(value).alias("y")),
-        keys,
-        ["ts"],
-        slice_by,
-        {"pos": ("pos", F.lit(1)), "__first": ("min", F.col("loop"))},
-    )
-    reached = F.when(
-        age >= first,
-        (F.lit(first) * F.pow(F.lit(2.0), F.floor(F.log2(age / F.lit(first)) + 1e-9))).cast("bigint"),
-    )
-    # The last row of each loop carries the model; others are only looked back at.
-    ends = numbered.groupBy(*keys, "loop").agg(F.max("pos").alias("pos"), F.lit(True).alias("ends"))
-    placed = numbered.join(ends, [*keys, "loop", "pos"], "left").withColumn(
-        "cutoff", F.when(F.col("ends"), reached)
-    )
-    parts = ["level", "d", "const", "ar", "ma", "long_ar"]
-    known = placed.join(models.select(*keys, "cutoff", *parts), [*keys, "cutoff"], "left")
-    blocks = with_halo(known, F.col("pos"), LOOP_ROWS, TAIL_ROWS)
-    types = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema]
-
-    def ahead(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values("pos").reset_index(drop=True)
-        y = block["y"].to_numpy(float)
-        ends = block.index[block["__own"] & block["level"].notna()]
-        size = len(ends)
-        values, shocks = np.zeros((size, MAX_P)), np.zeros((size, MAX_Q))
-        ar, ma, const = np.zeros((size, MAX_P)), np.zeros((size, MAX_Q)), np.zeros(size)
-        ladders = []
-        for i, at in enumerate(ends):
-            row = block.loc[at]
-            tail = y[max(0, at + 1 - TAIL_ROWS) : at + 1] - row["level"]
-            ladder = [np.diff(tail, k) for k in range(int(row["d"]) + 1)]
-            ladders.append(ladder)
-            w, long_ar = ladder[-1], np.asarray(row["long_ar"], float)
-            e = _innovations(w, long_ar) if len(w) > LONG_AR else np.zeros(0)
-            const[i] = row["const"]
-            ar[i, : len(row["ar"])], ma[i, : len(row["ma"])] = row["ar"], row["ma"]
-            # Newest first.
-            values[i, : min(len(w), MAX_P)] = w[::-1][:MAX_P]
-            shocks[i, : min(len(e), MAX_Q)] = e[::-1][:MAX_Q]
-        steps = np.empty((size, horizon))
-        for h in range(horizon):
-            steps[:, h] = const + (ar * values).sum(axis=1) + (ma * shocks).sum(axis=1)
-            values = np.column_stack([steps[:, h], values[:, :-1]])
-            shocks = np.column_stack([np.zeros(size), shocks[:, :-1]])
-        out = block.loc[ends, [*keys, "loop", "ts"]].copy()
-        made = []
-        for i, ladder in enumerate(ladders):
-            line = steps[i]
-            for lower in reversed(ladder[:-1]):
-                line = lower[-1] + np.cumsum(line)
-            made.append((line + block.loc[ends[i], "level"]).tolist())
-        out["forecast"] = pd.Series(made, index=out.index, dtype=object)
-        return out
-
-    made = blocks.groupBy(*keys, SLICE).applyInPandas(
-        ahead, ", ".join([*types, "loop bigint, ts timestamp, forecast array<double>"])
-    )
-    start = F.col("ts") + F.make_dt_interval(secs=F.lit(step))
-    return made.select(*keys, "loop", start.alias("start"), "forecast")

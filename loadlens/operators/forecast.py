@@ -54,30 +54,41 @@ def forecast_rows(forecasts: DataFrame, step: int = 1, steps: int | None = None)
 def wape(workload: DataFrame, forecasts: DataFrame, step: int = 1) -> DataFrame:
     """Accuracy, at each loop, of the latest forecast made before it.
 
-    `sum |y - f| / sum y` over the timestamps both have; infinite without any. Every row looks
-    its own step up in the forecast array, so the whole overlap counts and no step is unfolded.
+    `sum |y - f| / sum y` over the timestamps both have; infinite without any. A loop's workload
+    is gathered into its one row, which the forecast is joined to, so the whole overlap counts,
+    and neither a step is unfolded nor a forecast repeated.
     """
-    loops = workload.select("job", "loop").distinct()
+    loops = workload.groupBy("job", "loop").agg(
+        F.collect_list(F.struct(F.unix_micros("ts").alias("at"), F.col("workload").alias("y"))).alias("seen")
+    )
     slices: Column = F.floor(F.col("loop") / LOOPS_PER_SLICE)
-    linked = running(loops, ["job"], ["loop"], slices, {"__before": ("lag", F.col("loop"))})
+    numbers = workload.select("job", "loop").distinct()
+    linked = running(numbers, ["job"], ["loop"], slices, {"__before": ("lag", F.col("loop"))})
     made = forecasts.select("job", F.col("loop").alias("__before"), "start", "forecast")
-    known = linked.join(made, ["job", "__before"], "left").select("job", "loop", "start", "forecast")
-    micros = F.unix_micros("ts") - F.unix_micros("start")
+    known = loops.join(linked, ["job", "loop"]).join(made, ["job", "__before"], "left")
     width = F.lit(step * 1_000_000).cast("bigint")
-    at = F.when((micros >= 0) & (micros % width == 0), F.floor(micros / width).cast("int"))
-    rows = workload.join(known, ["job", "loop"], "left").select(
-        "job", "loop", "workload", F.when(at.isNotNull(), F.get("forecast", at)).alias("yhat")
-    )
-    scored = rows.groupBy("job", "loop").agg(
-        F.count("yhat").alias("overlap"),
-        F.sum(F.abs(F.col("workload") - F.col("yhat"))).alias("error"),
-        F.sum(F.when(F.col("yhat").isNotNull(), F.col("workload"))).alias("total"),
-    )
+
+    def met(row: Column) -> Column:
+        micros = row["at"] - F.unix_micros("start")
+        at = F.when((micros >= 0) & (micros % width == 0), F.floor(micros / width).cast("int"))
+        yhat = F.when(at.isNotNull(), F.get("forecast", at))
+        return F.struct(row["y"].alias("y"), yhat.alias("yhat"))
+
+    pairs = F.filter(F.transform("seen", met), lambda p: p["yhat"].isNotNull())
+    scored = known.select("job", "loop", F.coalesce(pairs, F.array()).alias("pairs"))
+
+    def added(value: Column) -> Column:
+        return F.aggregate(value, F.lit(0.0), lambda acc, v: acc + F.coalesce(v, F.lit(0.0)))
+
+    error = added(F.transform("pairs", lambda p: F.abs(p["y"] - p["yhat"])))
+    total = added(F.transform("pairs", lambda p: p["y"].cast("double")))
     return scored.select(
         "job",
         "loop",
-        "overlap",
-        F.coalesce(F.try_divide("error", "total"), F.lit(float("inf"))).alias("wape"),
+        F.size("pairs").cast("bigint").alias("overlap"),
+        F.coalesce(
+            F.when(F.size("pairs") > 0, F.try_divide(error, total)), F.lit(float("inf"))
+        ).alias("wape"),
     )
 
 
@@ -99,7 +110,7 @@ def choose_forecast(model: DataFrame, trend: DataFrame, accuracy: DataFrame) ->
     )
 
 
-def bad_streaks(accuracy: DataFrame) -> DataFrame:
+def bad_streaks(accuracy: DataFrame, after: int = RETRAIN_AFTER) -> DataFrame:
     """Consecutive bad forecasts up to each loop, and whether to fit the model again.
 
     Loops without overlap neither raise nor reset the streak.
@@ -114,5 +125,5 @@ def bad_streaks(accuracy: DataFrame) -> DataFrame:
     )
     streak = F.col("__bad") - F.coalesce("__at_good", F.lit(0))
     return marked.withColumn("bad_streak", streak).withColumn(
-        "needs_retrain", F.col("bad_streak") >= RETRAIN_AFTER
+        "needs_retrain", F.col("bad_streak") >= after
     ).drop("__bad", "__at_good")

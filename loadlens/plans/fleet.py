@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loadlens import session
-from loadlens.operators import anomaly, arima, capacity, forecast, recovery, regression, scaleout
+from loadlens.operators import anomaly, capacity, forecast, loop_arima, recovery, regression, scaleout
 from loadlens.operators.scan import running
 from loadlens.plans import tables as t
 
@@ -56,14 +56,21 @@ def flat_forecast(job_rows: DataFrame, settings: Settings) -> DataFrame:
     )
 
 
-def arima_forecast(job_rows: DataFrame, settings: Settings) -> DataFrame:
-    """The model of the fleet: refitted as histories double, continued at every loop."""
+def arima_states(job_rows: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
+    """What every loop knows of its job's workload, and the model versions of all jobs."""
     rows = session.materialise(job_rows.select("job", "loop", "ts", "workload"), "workload")
     slices = F.floor(F.unix_seconds("ts") / (7 * 86400))
-    models = session.materialise(arima.fit_by_cutoff(rows, slice_by=slices), "arima")
-    made = arima.forecast_loops(
-        rows, models, settings.horizon_steps, step=settings.step, slice_by=slices
+    states = session.materialise(loop_arima.loop_states(rows, slice_by=slices), "states")
+    versions = loop_arima.fleet_versions(
+        rows, states, settings.horizon_steps, settings.step, slice_by=slices
     )
+    return states, versions
+
+
+def arima_forecast(job_rows: DataFrame, settings: Settings) -> DataFrame:
+    """The model of the fleet: updated by every loop, replaced after streaks of bad forecasts."""
+    states, versions = arima_states(job_rows, settings)
+    made = loop_arima.forecast_loops(states, versions, settings.horizon_steps, settings.step)
     return session.materialise(made, "arima-forecasts")
 
 

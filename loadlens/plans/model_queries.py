@@ -6,7 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loadlens import session
-from loadlens.operators import anomaly, arima, capacity, forecast, recovery, regression
+from loadlens.operators import (
+    anomaly,
+    arima,
+    capacity,
+    forecast,
+    loop_arima,
+    recovery,
+    regression,
+)
 from loadlens.operators.scan import running
 from loadlens.plans import fleet
 from loadlens.plans import tables as t
@@ -602,6 +610,92 @@ def arima_loop_forecasts(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(made.select("job", "loop", F.posexplode("forecast").alias("idx", "yhat")))
 
 
+@query("arima_versions")
+def arima_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders of every job's ARIMA models, and the loops they were fitted at."""
+    return fleet.arima_states(t.job_hours(fleet.reduced_hours(spark, sf)), SET)[1]
+
+
+_TRIANGLE = ", ".join(f"({n}, {i}, {j})" for n, (i, j) in enumerate(zip(*loop_arima.UPPER)))
+
+
+@query(
+    "arima_loop_products",
+    with_tables(
+        JOB_HOURS,
+        f""", y AS (SELECT job, loop, ts, workload - first(workload) OVER w AS y, row_number() OVER w AS pos
+                    FROM job_hours WINDOW w AS (PARTITION BY job ORDER BY ts)),
+            lagged AS (SELECT job, loop, pos, [1.0, y, {", ".join(f"lag(y, {k}) OVER w" for k in range(1, loop_arima.LAGS + 1))}] AS z
+                       FROM y WINDOW w AS (PARTITION BY job ORDER BY ts)),
+            triangle(place, i, j) AS (VALUES {_TRIANGLE}),
+            added AS (SELECT job, loop, place,
+                             sum(CASE WHEN pos > {loop_arima.LAGS} THEN z[i + 1] * z[j + 1] ELSE 0 END) AS v
+                      FROM lagged, triangle GROUP BY ALL)
+            SELECT job, loop, CAST(place AS INTEGER) AS place,
+                   round(sum(v) OVER (PARTITION BY job, place ORDER BY loop), 3) AS value
+            FROM added""",
+    ),
+)
+def arima_loop_products(spark: SparkSession, sf: str) -> DataFrame:
+    """The summed products that each loop's coefficients are solved from."""
+    states = loop_arima.loop_states(t.job_hours(fleet.reduced_hours(spark, sf)))
+    return _rounded(states.select("job", "loop", F.posexplode("products").alias("place", "value")), 3)
+
+
+@query(
+    "level_refits",
+    with_tables(
+        JOB_HOURS,
+        f""", ends AS (SELECT job, loop, max(ts) AS until FROM job_hours GROUP BY ALL),
+            linked AS (SELECT job, loop, lag(loop) OVER w AS made, lag(until) OVER w AS until
+                       FROM ends WINDOW w AS (PARTITION BY job ORDER BY loop)),
+            pairs AS (SELECT job, loop, made, workload FROM job_hours JOIN linked USING (job, loop)
+                      WHERE date_diff('hour', until, ts) BETWEEN 1 AND {SET.horizon_steps}),
+            versions AS (
+                SELECT job, since, since AS cutoff, round(avg(workload), 6) AS level
+                FROM (SELECT job, min(loop) AS since
+                      FROM (SELECT job, loop, min(loop) OVER (PARTITION BY job) AS begin FROM ends)
+                      WHERE loop >= begin + {loop_arima.FIRST_FIT} GROUP BY job)
+                JOIN job_hours USING (job) WHERE loop <= since GROUP BY ALL
+                UNION ALL (
+                WITH judged AS (
+                    SELECT v.job, p.loop,
+                           NOT coalesce(sum(abs(workload - level)) / nullif(sum(workload), 0) < {forecast.GOOD_WAPE}, false) AS bad
+                    FROM versions v JOIN pairs p ON p.job = v.job AND p.made >= v.since GROUP BY ALL),
+                parts AS (
+                    SELECT *, sum(CASE WHEN bad THEN 0 ELSE 1 END) OVER (PARTITION BY job ORDER BY loop) AS part
+                    FROM judged),
+                streaks AS (
+                    SELECT job, loop, sum(bad::INTEGER) OVER (PARTITION BY job, part ORDER BY loop) AS streak
+                    FROM parts),
+                events AS (
+                    SELECT job, min(loop) AS cutoff FROM streaks WHERE streak >= {forecast.RETRAIN_AFTER} GROUP BY job)
+                SELECT job, cutoff + 1, cutoff, round(avg(workload), 6)
+                FROM events JOIN job_hours USING (job) WHERE loop <= cutoff GROUP BY job, cutoff))
+            SELECT * FROM versions""",
+    ),
+)
+def level_refits(spark: SparkSession, sf: str) -> DataFrame:
+    """When a model that SQL can follow, the mean of all rows so far, is fitted again."""
+    rows = session.materialise(
+        t.job_hours(fleet.reduced_hours(spark, sf)).select("job", "loop", "ts", "workload"), "workload"
+    )
+
+    def fit(events: DataFrame) -> DataFrame:
+        known = rows.join(events, "job").where("loop <= cutoff")
+        return known.groupBy("job", "since", "cutoff").agg(F.round(F.avg("workload"), 6).alias("level"))
+
+    def score(versions: DataFrame) -> DataFrame:
+        later = rows.join(versions, "job").where("loop >= since")
+        made = later.groupBy("job", "loop").agg(
+            (F.max("ts") + F.make_dt_interval(secs=F.lit(SET.step))).alias("start"),
+            F.array_repeat(F.first("level"), SET.horizon_steps).alias("forecast"),
+        )
+        return forecast.wape(later.select("job", "loop", "ts", "workload"), made, SET.step)
+
+    return loop_arima.versions_by_events(loop_arima.first_events(rows), fit, score)
+
+
 # A model given in full, so that SQL can follow the recursion: once differenced, two lags, one
 # past shock, shocks taken from a first-order autoregression.
 GIVEN = {"d": 1, "const": 0.5, "ar": [0.6, -0.2], "ma": [0.3], "long": [0.1, 0.4]}

@@ -341,27 +341,6 @@ def test_arima_beats_the_threshold_and_ignores_blocks(spark, monkeypatch):
     np.testing.assert_allclose(both["aic_x"], both["aic_y"], rtol=1e-6)
 
 
-def test_loop_forecasts_use_the_past_alone(spark, monkeypatch):
-    rng = np.random.default_rng(21)
-    wave = 500 + 100 * np.sin(np.arange(640) / 7) + rng.normal(size=640) * 3
-    df = loops(spark, wave, 10)
-    models = arima.fit_by_cutoff(df)
-    assert sorted(r["cutoff"] for r in models.collect()) == [8, 16, 32]
-    made = {r["loop"]: r for r in arima.forecast_loops(df, models, 20).collect()}
-    assert sorted(made) == list(range(8, 64))
-    # Later rows change nothing, nor does the size of the blocks.
-    early = df.filter("loop < 40")
-    monkeypatch.setattr(arima, "LOOP_ROWS", 150)
-    again = arima.forecast_loops(early, arima.fit_by_cutoff(early), 20).collect()
-    assert sorted(r["loop"] for r in again) == list(range(8, 40))
-    for r in again:
-        assert r["start"] == made[r["loop"]]["start"] == at(10 * (r["loop"] + 1))
-        assert r["forecast"] == pytest.approx(made[r["loop"]]["forecast"], rel=1e-6)
-    scored = {r["loop"]: r for r in forecast.wape(df, arima.forecast_loops(df, models, 20), 1).collect()}
-    assert scored[8]["overlap"] == 0 and scored[9]["overlap"] == 10
-    assert np.mean([scored[i]["wape"] for i in range(40, 64)]) < 0.05
-
-
 def test_accuracy_takes_the_whole_overlap_and_skips_missing_loops(spark):
     rows = [("j", i // 4, at(i), 10.0) for i in range(20) if i // 4 != 2]
     df = spark.createDataFrame(rows, "job string, loop long, ts timestamp, workload double")
@@ -378,7 +357,7 @@ def test_short_series_continue_their_mean_and_lags_grow(spark):
     models = arima.fit_arima(df)
     got = {r["job"]: r["forecast"] for r in arima.forecast_arima(df, models, 4).collect()}
     assert got == {"tiny": pytest.approx([5.0] * 4), "one": pytest.approx([7.0] * 4)}
-    assert arima._kpss_lags(10**6) == 230 and arima._adf_lags(10**6) in (99, 100)
+    assert arima._kpss_lags(10**6) == 230 and arima._adf_lags(10**6 + 2) == 100
 
 
 def test_moments_before_each_loop(spark):

@@ -11,8 +11,8 @@ from loadlens.operators.scan import epoch, running, time_slice
 from loadlens.plans import tables as t
 from loadlens.plans.registry import ORACLES, query
 from loadlens.plans.tables import sql_distance, with_tables
-from loadlens.sources import codecs, files, streams
-from loadlens.streaming import jobs, sinks
+from loadlens.sources import codecs, files, replay, streams
+from loadlens.streaming import jobs, progress, sinks
 
 UPDATE_MS = 1000
 
@@ -541,7 +541,6 @@ def expand_rate_curve(spark: SparkSession, sf: str) -> DataFrame:
 
 def _run(spark: SparkSession, df: DataFrame, mode: str) -> str:
     """Drain a streaming query into the shared folder and return the table's path."""
-    session.use_rocksdb_state(spark)
     root = session.shared_dir(spark, "stream")
     jobs.run_to_end(
         sinks.start_table(df, f"{root}/rows", f"{root}/checkpoint", mode, {"availableNow": True})
@@ -588,3 +587,120 @@ def _stream_words(dialect: str, mode: str):
 query("stream_word_count_words", WORDS)(_stream_words("words", "update"))
 query("stream_word_count_spaces", SPACES)(_stream_words("spaces", "complete"))
 query("stream_word_count_changelog", CHANGELOG)(_stream_words("changelog", "update"))
+
+
+# --- streams of many batches, with late rows -----------------------------------------------
+
+# Every fortieth event arrives nine days late; a batch holds 1000 rows.
+ROWS_PER_OFFSET, OFFSETS_PER_BATCH, DELAY = 250, 4, "1 day"
+ARRIVED = f"""
+    arrived AS (
+        SELECT *, (row_number() OVER (ORDER BY arrival, event_id) - 1)
+                  // {ROWS_PER_OFFSET} // {OFFSETS_PER_BATCH} AS batch
+        FROM (SELECT *, ts + CASE WHEN event_id % 40 = 3 THEN INTERVAL 9 DAY ELSE INTERVAL 0 DAY END AS arrival
+              FROM events)
+    )"""
+
+
+def _late(rows: str) -> str:
+    """`late`: batches with the watermark that judges late rows, that of the batch before;
+    `closing`: the last watermark of all. Watermarks are whole milliseconds."""
+    return f"""
+    late AS (
+        SELECT batch, max(newest) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING)
+                      - INTERVAL {DELAY} AS watermark
+        FROM (SELECT batches.batch, date_trunc('milliseconds', max(ts)) AS newest
+              FROM (SELECT DISTINCT batch FROM arrived) batches LEFT JOIN {rows} r ON r.batch = batches.batch
+              GROUP BY ALL)),
+    closing AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL {DELAY} AS watermark FROM {rows})"""
+
+
+def _replayed(spark: SparkSession, sf: str) -> DataFrame:
+    """The events as they arrive: recorded once, then played back in batches."""
+    rows = t.events(spark, sf)
+    late = F.when(F.col("event_id") % 40 == 3, F.make_dt_interval(F.lit(9))).otherwise(F.make_dt_interval(F.lit(0)))
+    path = session.shared_dir(spark, "recording")
+    replay.record(rows.withColumn("arrival", F.col("ts") + late), path, "arrival", ["event_id"], ROWS_PER_OFFSET)
+    return replay.read_replay(spark, path, maxOffsetsPerTrigger=str(OFFSETS_PER_BATCH))
+
+
+NEXT = {"processingTime": "0 seconds"}
+
+
+def _drain(spark: SparkSession, df: DataFrame) -> str:
+    """Append-mode rows of all batches, below the shared folder."""
+    root = session.shared_dir(spark, "stream")
+    jobs.run_until_idle(sinks.start_table(df, f"{root}/rows", f"{root}/checkpoint", "append", NEXT))
+    return f"{root}/rows"
+
+
+@query(
+    "replay_campaign_counts",
+    with_tables(
+        "campaigns",
+        f""", {ARRIVED.lstrip()},
+            seen AS (SELECT *, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end
+                     FROM arrived WHERE event_type = 'view'),
+            {_late("seen").lstrip()}
+            SELECT coalesce(campaign_id, 'UNKNOWN') AS campaign_id, count(*) AS ct,
+                   CAST(epoch_ms(window_end) AS BIGINT) AS window_end_ms
+            FROM seen JOIN late USING (batch) LEFT JOIN campaigns ON ad_id = CAST(user_id AS VARCHAR)
+            WHERE (late.watermark IS NULL OR window_end > late.watermark)
+              AND window_end <= (SELECT watermark FROM closing)
+            GROUP BY ALL""",
+    ),
+)
+def replay_campaign_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Closed campaign windows of a stream of many batches with late events."""
+    rows = t.ad_events(_replayed(spark, sf))
+    counts = ads.campaign_window_counts_stream(rows, t.campaigns(spark, sf), "1 hour", DELAY)
+    return _counts_out(sinks.read_rows(spark, _drain(spark, counts)))
+
+
+_ON_TIME = f"""{ARRIVED.lstrip()}, {_late("arrived").lstrip()},
+    on_time AS (SELECT a.* FROM arrived a JOIN late USING (batch)
+                WHERE late.watermark IS NULL OR ts > late.watermark)"""
+
+
+def _replayed_speeds(spark: SparkSession, sf: str) -> DataFrame:
+    points = t.points(_replayed(spark, sf))
+    return traffic.closed_speed_windows_stream(
+        points, UPDATE_MS, "1 day", "1 second", delay=DELAY, slice_width="6 hours"
+    )
+
+
+@query(
+    "replay_avg_speed",
+    with_tables(
+        "lattice points",
+        f" SELECT window_end_ms, lp, {ROUNDED}, avg_speed FROM ({SPEEDS})"
+        " WHERE window_end_ms <= (SELECT epoch_ms(watermark) FROM closing)",
+    )
+    .replace("FROM events", "FROM on_time", 1)
+    .replace("WITH RECURSIVE ", f"WITH RECURSIVE {_ON_TIME}, ", 1),
+)
+def replay_avg_speed(spark: SparkSession, sf: str) -> DataFrame:
+    """Closed speed windows of a stream of many batches with late positions."""
+    return _speeds_out(sinks.read_rows(spark, _drain(spark, _replayed_speeds(spark, sf))))
+
+
+@query(
+    "replay_late_rows",
+    f"""WITH {_ON_TIME}
+        SELECT (SELECT count(DISTINCT batch) FROM arrived) AS batches, (SELECT count(*) FROM arrived) AS n_rows,
+               (SELECT count(*) FROM arrived) - (SELECT count(*) FROM on_time) AS dropped""",
+)
+def replay_late_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """What the progress telemetry says of that stream: batches, rows, and late rows dropped."""
+    path = session.shared_dir(spark, "progress")
+    speeds = _replayed_speeds(spark, sf)
+    with progress.recorded(spark, path) as table:
+        _drain(spark, speeds)
+    value = F.sum("value")
+    told = table.samples().groupBy("ts", "metric").agg(value.alias("value"))
+    gauge = lambda name: F.when(F.col("metric") == name, F.col("value"))
+    return told.agg(
+        F.count(F.when(gauge("numInputRows") > 0, 1)).alias("batches"),
+        F.sum(gauge("numInputRows")).cast("long").alias("n_rows"),
+        F.sum(gauge("numRowsDroppedByWatermark")).cast("long").alias("dropped"),
+    )

@@ -222,7 +222,6 @@ def load_lines(spark: SparkSession, sf: str) -> DataFrame:
 @query("online_load_lines", with_tables(JOB_HOURS, f", {LINES} SELECT {LINE_COLUMNS} FROM slopes"))
 def online_load_lines(spark: SparkSession, sf: str) -> DataFrame:
     """The same lines from streaming state, fed with one row per pod and loop."""
-    session.use_rocksdb_state(spark)
     root = session.shared_dir(spark, "online-lines")
     pods = _loop_pods(fleet.reduced_hours(spark, sf))
     pods.select("job", "pod", "loop", "k", "mx", "my", "sxx", "sxy").write.parquet(f"{root}/in")
@@ -246,7 +245,6 @@ ONLINE_MOMENTS = f"""{RESIDUALS}
 
 @query("online_residual_moments", with_tables(JOB_HOURS, ", " + ONLINE_MOMENTS))
 def online_residual_moments(spark: SparkSession, sf: str) -> DataFrame:
-    session.use_rocksdb_state(spark)
     root = session.shared_dir(spark, "online-moments")
     loop = F.floor(F.unix_seconds("ts") / SET.loop_seconds).cast("bigint")
     reduced = _residuals(spark, sf).groupBy("job", loop.alias("loop")).agg(

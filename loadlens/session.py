@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,9 +43,21 @@ def build(app: str = "loadlens", master: str | None = None, **conf: str) -> Spar
     return builder.getOrCreate()
 
 
-def use_rocksdb_state(spark: SparkSession) -> None:
-    """Keep streaming state in RocksDB, so that it may outgrow executor memory."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, so that it may outgrow executor
+    memory; the session's own setting is put back."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, ROCKSDB_PROVIDER)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
 
 _local_roots: dict[str, str] = {}
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,10 +35,19 @@ def read_text_stream(spark: SparkSession, path: str, **options: str) -> DataFram
     return spark.readStream.options(**options).text(path)
 
 
+def _is_file(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isFile()
+
+
 def read_table_stream(spark: SparkSession, path: str, **options: str) -> DataFrame:
     """Parquet rows arriving at `path`, a folder or a single file; the schema is taken from
-    what is there."""
-    schema = spark.read.parquet(path).schema
-    # Only a pattern may stand for a single file in a streaming read.
-    pattern = f"{path[:-1]}[{path[-1]}]"
-    return spark.readStream.schema(schema).options(**options).parquet(pattern)
+    what is there. The folder's own path must be free of glob characters."""
+    path = path.rstrip("/")
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).options(**options)
+    if not _is_file(spark, path):
+        return reader.parquet(path)
+    # A stream reads folders: a single file is its folder, filtered by name.
+    folder, _, name = path.rpartition("/")
+    literal = re.sub(r"([*?{}\[\]\\])", r"\\\1", name)
+    return reader.option("pathGlobFilter", literal).parquet(folder or ".")

@@ -23,11 +23,11 @@ from pyspark.sql import types as T
 # Encoded chunks a worker remembers before it starts anew; results don't depend on it.
 REMEMBERED = 500_000
 # Characters of text, or tokens, that are taken through the database together.
-ROUND_CHARS = 4 << 20
-ROUND_TOKENS = 1 << 20
+ROUND_CHARS = 2 << 20
+ROUND_TOKENS = 1 << 19
 # Pieces of new words that one recursive query contracts, in bytes, and its rounds: it keeps
 # the rows of all rounds, so what is not finished then goes on in a next query.
-QUERY_BYTES = 1 << 20
+QUERY_BYTES = 1 << 19
 QUERY_ROUNDS = 48
 # Segments beyond so many bytes contract all places of their lowest pair in one round.
 LONG = 64
@@ -48,8 +48,8 @@ _PAIRS = """
 
 _LAST = """
 SELECT segment, pos, token, round
-FROM (SELECT *, max(round) OVER (PARTITION BY segment) AS last FROM state)
-WHERE round = last
+FROM state
+JOIN (SELECT segment, max(round) AS round FROM state GROUP BY segment) USING (segment, round)
 """
 
 # The leftmost pair of the lowest rank in each segment, one pair a round.
@@ -101,8 +101,7 @@ WITH RECURSIVE state AS (
 
 # Bytes stand as the characters of the same number.
 DECODE = """
-SELECT part, string_agg(bytes, '' ORDER BY pos) AS text
-FROM tokens JOIN vocabulary USING (token) GROUP BY part
+SELECT string_agg(bytes, '' ORDER BY pos) AS text FROM tokens JOIN vocabulary USING (token)
 """
 
 
@@ -230,7 +229,7 @@ class Encoder:
             reach = (ends[first - 1] if first else 0) + QUERY_BYTES
             last = max(int(np.searchsorted(ends, reach, side="right")), first + 1)
             ids, counts = self._contract(spelled[first:last])
-            at = np.concatenate([[0], np.cumsum(counts)]) * 4
+            at = (np.concatenate([[0], np.cumsum(counts)]) * 4).tolist()
             raw = ids.tobytes()
             found.update(
                 (word, raw[a:b]) for word, a, b in zip(words[first:last], at[:-1], at[1:])
@@ -245,45 +244,57 @@ class Encoder:
         return chunks
 
     def _learn(self, chunks: list[str]) -> None:
-        cut = [self.words(c[1:] if c[:1] == " " else " " + c) for c in chunks]
-        ids = self._word_ids(list({word for words in cut for word in words}))
-        for chunk, words in zip(chunks, cut):
-            self.known[chunk] = b"".join(map(ids.__getitem__, words))
+        """Remember the ids of chunks. Those that begin a section are cut one by one, all
+        others as one text: a word begins where such a chunk does."""
+        firsts = [c for c in chunks if c[:1] == " "]
+        chunks = [c for c in chunks if c[:1] != " "]
+        cut = [self.words(c[1:]) for c in firsts]
+        words = self.words("".join([f" {c}" for c in chunks]))
+        ids = self._word_ids(list(set(words).union(*cut)))
+        for chunk, own in zip(firsts, cut):
+            self.known[chunk] = b"".join(map(ids.__getitem__, own))
+        raw = list(map(ids.__getitem__, words))
+        last = np.searchsorted(
+            np.cumsum(list(map(len, words))), np.cumsum([len(c) + 1 for c in chunks])
+        )
+        ends = (np.cumsum(list(map(len, raw)))[last] if chunks else last).tolist()
+        data = b"".join(raw)
+        self.known.update(zip(chunks, (data[a:b] for a, b in zip([0, *ends], ends))))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text, as the bytes of an int32 array."""
         if len(self.known) > REMEMBERED:
             self.known = {}
         cut = [self._chunks(text) for text in texts]
-        new = dict.fromkeys(c for chunks in cut for c in chunks if c not in self.known)
-        self._learn(list(new))
+        self._learn(list(set().union(*cut).difference(self.known)))
         return [b"".join(map(self.known.__getitem__, chunks)) for chunks in cut]
 
 
 class Decoder:
     """Bytes of token ids."""
 
-    def __init__(self, vocabulary: Vocabulary) -> None:
-        self.database = vocabulary.connect()
+    def __init__(
+        self, vocabulary: Vocabulary, database: duckdb.DuckDBPyConnection | None = None
+    ) -> None:
+        self.database = database or vocabulary.connect()
+        self.sizes = np.array([*map(len, vocabulary.tokens), 0], dtype=np.int64)
 
     def decode(self, ids: pa.ListArray) -> list[bytes]:
-        """Bytes of every list of ids; a long list goes through the database in parts."""
-        lengths = ids.value_lengths().fill_null(0).to_numpy()
-        tokens = ids.flatten()
-        ends = np.cumsum(lengths)
-        parts: list[list[bytes]] = [[] for _ in range(len(ids))]
+        """Bytes of every list of ids; tokens of many lists are strung together at a time, and
+        cut by their lengths."""
+        last = np.cumsum(ids.value_lengths().fill_null(0).to_numpy())
+        tokens = pc.fill_null(ids.flatten(), -1).to_numpy()
+        known = (tokens >= 0) & (tokens < len(self.sizes) - 1)
+        upto = np.cumsum(np.append(0, self.sizes[np.where(known, tokens, -1)]))
+        strung = []
         for first in range(0, len(tokens), ROUND_TOKENS):
-            some = tokens.slice(first, ROUND_TOKENS)
-            pos = np.arange(first, first + len(some))
-            row = np.searchsorted(ends, pos, side="right")
-            self.database.register(
-                "tokens",
-                pa.table({"part": row.astype(np.int32), "pos": (pos - first).astype(np.int32), "token": some}),
-            )
-            found = self.database.sql(DECODE).to_arrow_table()
-            for part, text in zip(found["part"].to_pylist(), found["text"].to_pylist()):
-                parts[part].append(text.encode("latin-1"))
-        return [b"".join(own) for own in parts]
+            some = tokens[first : first + ROUND_TOKENS]
+            pos = np.arange(len(some), dtype=np.int32)
+            self.database.register("tokens", pa.table({"pos": pos, "token": some}))
+            strung.append(self.database.execute(DECODE).fetchall()[0][0] or "")
+        data = "".join(strung).encode("latin-1")
+        ends = upto[last]
+        return [data[a:b] for a, b in zip(np.append(0, ends[:-1]), ends)]
 
 
 def _rounds(texts: list[str]) -> Iterator[list[str]]:
@@ -300,13 +311,18 @@ def _rounds(texts: list[str]) -> Iterator[list[str]]:
         yield waiting
 
 
-def _schema(frame: DataFrame, keep: list[str], added: T.StructField) -> T.StructType:
+IDS = T.StructField("ids", T.ArrayType(T.IntegerType()))
+BYTES = T.StructField("bytes", T.BinaryType())
+
+
+def _schema(frame: DataFrame, keep: list[str], *added: T.StructField) -> T.StructType:
     fields = {f.name: f for f in frame.schema}
-    return T.StructType([*(fields[c] for c in keep), added])
+    return T.StructType([*(fields[c] for c in keep), *added])
 
 
 def encode(
-    documents: DataFrame, ranks: str | Path, pattern: str, keep: list[str], *, text: str = "text"
+    documents: DataFrame, ranks: str | Path, pattern: str, keep: list[str], *, text: str = "text",
+    back: bool = False,
 ) -> DataFrame:
     """Add `ids`, the token ids of every whole text, as an array of ints.
 
@@ -316,13 +332,16 @@ def encode(
 
     Null and empty texts have no ids. Each row is encoded for itself, so repeated rows have
     the same ids; an empty table gives an empty table. Returns the columns `keep` and `ids`,
-    which replaces an input column of that name.
+    which replaces an input column of that name. With `back` the ids are decoded in the same
+    pass, into `bytes`, as `decode` does.
     """
     vocabulary = documents.sparkSession.sparkContext.broadcast(Vocabulary.read(ranks))
-    keep = [c for c in keep if c != "ids"]
+    added = [IDS, BYTES] if back else [IDS]
+    keep = [c for c in keep if c not in [f.name for f in added]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary.value, pattern)
+        decoder = Decoder(vocabulary.value, encoder.database) if back else None
         for batch in batches:
             first = 0
             for texts in _rounds(batch.column(text).fill_null("").to_pylist()):
@@ -333,9 +352,12 @@ def encode(
                 )
                 own = batch.slice(first, len(texts))
                 first += len(texts)
-                yield pa.RecordBatch.from_arrays([*(own.column(c) for c in keep), ids], names=[*keep, "ids"])
+                made = [ids, pa.array(decoder.decode(ids), pa.binary())] if decoder else [ids]
+                yield pa.RecordBatch.from_arrays(
+                    [*(own.column(c) for c in keep), *made], names=[*keep, *(f.name for f in added)]
+                )
 
-    schema = _schema(documents, keep, T.StructField("ids", T.ArrayType(T.IntegerType())))
+    schema = _schema(documents, keep, *added)
     return documents.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
 
 
@@ -356,5 +378,5 @@ def decode(
             found = pa.array(decoder.decode(batch.column(ids)), pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), found], names=[*keep, "bytes"])
 
-    schema = _schema(encoded, keep, T.StructField("bytes", T.BinaryType()))
+    schema = _schema(encoded, keep, BYTES)
     return encoded.select(*dict.fromkeys([*keep, ids])).mapInArrow(run, schema)

@@ -244,9 +244,8 @@ def byte_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = byte_bpe.encode(documents, ranks, public_tokenizers.PATTERN, ["doc_id"])
-    decoded = byte_bpe.decode(encoded, ranks, ["doc_id", "ids"])
-    return decoded.select(
+    coded = byte_bpe.encode(documents, ranks, public_tokenizers.PATTERN, ["doc_id"], back=True)
+    return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),

@@ -255,7 +255,7 @@ def whiten(
     variance have no whitened coordinate and no row, so a table of one distinct vector, or an
     empty one, gives an empty table. There are `components` rows a vector at most, fewer for
     shorter vectors. Returns the columns `keep` and the six, which replace columns of these
-    names. The distinct vectors are written to the shared folder once and read three times more.
+    names; a column x is not carried along. The distinct vectors are written to the shared folder once and read three times more.
     """
     spark = embeddings.sparkSession
     keep = [c for c in keep if c not in ADDED.names and c != "x"]

@@ -94,6 +94,9 @@ def test_rows_and_round_trip(documents, library, monkeypatch):
     assert [rows[i] for i in range(len(texts))] == [library.encode_ordinary(t or "") for t in texts]
     back = {r.doc_id: bytes(r.bytes) for r in byte_bpe.decode(encoded, RANKS, ["doc_id"]).collect()}
     assert [back[i] for i in range(len(texts))] == [(t or "").encode() for t in texts]
+    both = byte_bpe.encode(docs.withColumnRenamed("lang", "bytes"), RANKS, PATTERN, ["doc_id", "bytes"], back=True)
+    assert both.columns == ["doc_id", "ids", "bytes"]
+    assert {r.doc_id: (r.ids, bytes(r.bytes)) for r in both.collect()} == {i: (rows[i], back[i]) for i in rows}
     empty = byte_bpe.encode(documents([]), RANKS, PATTERN, ["doc_id"])
     assert byte_bpe.decode(empty, RANKS, ["doc_id"]).count() == 0
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import tempfile
 import time
 
 from loadlens import session
@@ -46,7 +47,11 @@ def main() -> None:
     spark = session.build(
         "bench",
         f"local[{cpus}]",
-        **{"spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "16g"},
+        **{
+            "spark.sql.shuffle.partitions": cpus,
+            "spark.driver.memory": "16g",
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="bench-"),
+        },
     )
     spark.sparkContext.setLogLevel("ERROR")
     seconds = {}

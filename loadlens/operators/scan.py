@@ -44,6 +44,7 @@ def running(
     * ``sum`` / ``max`` / ``min`` / ``count``: from the first row to this one,
     * ``last``: latest non-null value up to and including this row,
     * ``lag``: value of the row before this one (null on the first row),
+    * ``lead``: value of the row after this one (null on the last row),
     * ``pos``: 1-based position in the series (the expression is ignored),
     * ``last_pos`` / ``prev_pos``: position of the latest row whose condition holds, this
       row included / excluded (null if there is none).
@@ -56,6 +57,7 @@ def running(
     local = Window.partitionBy(*part).orderBy(*order)
     so_far = local.rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(1, Window.unboundedFollowing)
     position = F.struct(*[F.col(c) for c in order])
 
     inner, totals, carries, combined = {}, {}, {}, {}
@@ -96,6 +98,12 @@ def running(
             totals[before] = F.max_by(boxed, position)
             carries[before] = F.last(before, ignorenulls=True).over(earlier)
             combined[name] = F.coalesce(here, before)["v"]
+        elif kind == "lead":
+            boxed = F.struct(expr.alias("v"))
+            inner[here] = F.lead(boxed, 1).over(local)
+            totals[before] = F.min_by(boxed, position)
+            carries[before] = F.first(before, ignorenulls=True).over(later)
+            combined[name] = F.coalesce(here, before)["v"]
         elif kind == "pos":
             combined[name] = F.col("__rows_before") + F.col("__row")
         elif kind in ("last_pos", "prev_pos"):

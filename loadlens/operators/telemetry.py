@@ -67,6 +67,10 @@ def metrics_long(wide: DataFrame, ids: Sequence[str], metric: str) -> DataFrame:
     )
 
 
+def _floor_div(a: Column, b: int) -> Column:
+    return ((a - F.pmod(a, F.lit(b))) / F.lit(b)).cast("bigint")
+
+
 def metric_range(
     samples: DataFrame,
     start: int,
@@ -78,47 +82,31 @@ def metric_range(
     """Regular grid `start, start+step, ... stop` (epoch seconds) for every series.
 
     A grid point carries the latest sample at or before it, unless that is older than
-    `lookback` seconds.
+    `lookback` seconds. No grid is laid out: every sample gives the points from itself up to
+    the next sample, or to the end of its lookback.
     """
-    recent = samples.withColumn("t", epoch(F.col("ts"))).filter(
-        F.col("t").between(start - lookback, stop)
-    )
-    per_block = max(1, slice_seconds // step)
-    points = (stop - start) // step + 1
-    blocks = -(-points // per_block)
-    # Two explodes, so that no single array holds a long grid.
-    grid = (
-        recent.select(*SERIES)
-        .distinct()
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        .withColumn(
-            "i",
-            F.explode(
-                F.sequence(
-                    F.col("block") * per_block,
-                    F.least((F.col("block") + 1) * per_block, F.lit(points)) - 1,
-                )
-            ),
-        )
-        .select(
-            *SERIES,
-            (F.lit(start) + F.col("i").cast("bigint") * step).cast("double").alias("t"),
-            F.lit(1).alias("on_grid"),
-            F.lit(None).cast("double").alias("value"),
-        )
+    micro = 1_000_000
+    recent = samples.select(*SERIES, F.unix_micros("ts").alias("us"), "value").filter(
+        F.col("us").between((start - lookback) * micro, stop * micro)
     )
-    both = recent.select(*SERIES, "t", F.lit(0).alias("on_grid"), "value").unionByName(grid)
-    seen = F.when(F.col("on_grid") == 0, F.struct("t", "value"))
-    filled = running(
-        both,
+    linked = running(
+        recent,
         SERIES,
-        ["t", "on_grid", "value"],
-        time_slice(F.col("t"), max(slice_seconds, step)),
-        {"seen": ("last", seen)},
+        ["us", "value"],
+        time_slice(F.col("us") / F.lit(micro), max(slice_seconds, step)),
+        {"next": ("lead", F.col("us"))},
+    )
+    since = F.col("us") - start * micro
+    width = step * micro
+    first = F.greatest(-_floor_div(-since, width), F.lit(0))
+    within = F.least(since + lookback * micro, F.lit((stop - start) * micro))
+    # The point of the next sample itself is that sample's.
+    until = -_floor_div(-(F.col("next") - start * micro), width) - 1
+    last = F.least(_floor_div(within, width), until)
+    points = F.when(first <= last, F.sequence(first, last))
+    return linked.withColumn("i", F.explode(points)).select(
+        *SERIES, F.timestamp_seconds(F.lit(start) + F.col("i") * step).alias("ts"), "value"
     )
-    return filled.filter(
-        (F.col("on_grid") == 1) & (F.col("t") - F.col("seen.t") <= lookback)
-    ).select(*SERIES, F.timestamp_seconds("t").alias("ts"), F.col("seen.value").alias("value"))
 
 
 # --- alignment -------------------------------------------------------------------------

@@ -12,7 +12,7 @@ from loadlens.plans import tables as t
 from loadlens.plans.registry import ORACLES, query
 from loadlens.plans.tables import sql_distance, with_tables
 from loadlens.sources import codecs, files, replay, streams
-from loadlens.streaming import jobs, progress, sinks
+from loadlens.streaming import epoch_log, jobs, progress, sinks, upserts
 
 UPDATE_MS = 1000
 
@@ -478,7 +478,7 @@ def resample_from_anchor(spark: SparkSession, sf: str) -> DataFrame:
        WHERE ts = (SELECT ts FROM events ORDER BY value DESC, event_id LIMIT 1)""",
 )
 def observation_at(spark: SparkSession, sf: str) -> DataFrame:
-    rows = t.events(spark, sf)
+    rows = t.table(spark, sf, "events")  # times as they are stored, so that the scan can skip
     peak = rows.agg(F.max_by("ts", F.struct("value", -F.col("event_id")))).scalar()
     return series.observation_at(rows, peak).select("event_id", "user_id", "value")
 
@@ -657,6 +657,50 @@ def replay_campaign_counts(spark: SparkSession, sf: str) -> DataFrame:
     return _counts_out(sinks.read_rows(spark, _drain(spark, counts)))
 
 
+@query(
+    "replay_campaign_notices",
+    f"""SELECT '{{"id":"' || campaign_id || '","ct":' || CAST(ct AS VARCHAR) || ',"ts":'
+               || CAST(window_end_ms AS VARCHAR) || '}}' AS value
+        FROM ({ORACLES["replay_campaign_counts"]})""",
+)
+def replay_campaign_notices(spark: SparkSession, sf: str) -> DataFrame:
+    """The same windows as messages, each delivered once."""
+    rows = t.ad_events(_replayed(spark, sf))
+    counts = ads.campaign_window_counts_stream(rows, t.campaigns(spark, sf), "1 hour", DELAY)
+    lines = codecs.encode_campaign_counts(counts).select("value")
+    root = session.shared_dir(spark, "notices")
+    jobs.run_until_idle(
+        epoch_log.start_exactly_once(lines, f"{root}/log", f"{root}/checkpoint", trigger=NEXT)
+    )
+    return epoch_log.read_exactly_once(spark, f"{root}/log", lines.schema)
+
+
+@query(
+    "replay_campaign_table",
+    with_tables(
+        "campaigns",
+        f""", {ARRIVED.lstrip()},
+            seen AS (SELECT *, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end
+                     FROM arrived WHERE event_type = 'view'),
+            {_late("seen").lstrip()}
+            SELECT coalesce(campaign_id, 'UNKNOWN') AS campaign_id, count(*) AS ct,
+                   CAST(epoch_ms(window_end) AS BIGINT) AS window_end_ms
+            FROM seen JOIN late USING (batch) LEFT JOIN campaigns ON ad_id = CAST(user_id AS VARCHAR)
+            WHERE late.watermark IS NULL OR window_end > late.watermark
+            GROUP BY ALL""",
+    ),
+)
+def replay_campaign_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The same counts, open windows included, as a table that every batch updates."""
+    rows = t.ad_events(_replayed(spark, sf))
+    counts = ads.campaign_window_counts_stream(rows, t.campaigns(spark, sf), "1 hour", DELAY)
+    root, keys = session.shared_dir(spark, "upserts"), ["campaign_id", "window_end"]
+    jobs.run_until_idle(
+        upserts.start_upserts(counts, f"{root}/table", f"{root}/checkpoint", keys, NEXT)
+    )
+    return _counts_out(upserts.read_upserts(spark, f"{root}/table", keys))
+
+
 _ON_TIME = f"""{ARRIVED.lstrip()}, {_late("arrived").lstrip()},
     on_time AS (SELECT a.* FROM arrived a JOIN late USING (batch)
                 WHERE late.watermark IS NULL OR ts > late.watermark)"""

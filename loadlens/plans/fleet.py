@@ -151,7 +151,11 @@ def rescale_feedback(
     flagged = anomaly.detect_anomalies(rows, known, ("job", "epoch"), gap, as_of=("loop",))
     flagged = session.materialise(flagged, "epoch-anomalies")
     seen = anomaly.observed_recovery_time(flagged, ("job", "epoch"), gap)
-    predicted = recovery.predict_recovery(found, settings.up_steps, settings.down_steps)
+    # Only the loops before a rescale are asked.
+    asked = epochs.filter(F.col("parallelism") != F.col("previous")).select("job", F.col("before").alias("loop"))
+    predicted = recovery.predict_recovery(
+        found.join(asked, ["job", "loop"], "left_semi"), settings.up_steps, settings.down_steps
+    )
     predicted = predicted.select(
         "job",
         F.col("loop").alias("before"),

@@ -176,8 +176,8 @@ def metric_dump_file(spark: SparkSession, sf: str) -> DataFrame:
     return stamped(back, "job", "pod", "metric", "ts", "value")
 
 
-# First and last second of the observed month, and a grid finer than the samples.
-START, STOP, STEP, LOOKBACK = 1704067200, 1706659200, 1800, 7200
+# A grid finer than the samples, from the first one to where the last one is too old.
+STEP, LOOKBACK = 1800, 7200
 
 
 @query(
@@ -185,7 +185,9 @@ START, STOP, STEP, LOOKBACK = 1704067200, 1706659200, 1800, 7200
     with_tables(
         SAMPLES,
         f""", grid AS (
-                SELECT job, pod, metric, unnest(generate_series({START}, {STOP}, {STEP})) AS t
+                SELECT job, pod, metric, unnest(generate_series(
+                    (SELECT CAST(epoch(min(ts)) AS BIGINT) FROM samples),
+                    (SELECT CAST(epoch(max(ts)) AS BIGINT) FROM samples) + {LOOKBACK}, {STEP})) AS t
                 FROM (SELECT DISTINCT job, pod, metric FROM samples)),
               points AS (SELECT job, pod, metric, CAST(epoch(ts) AS BIGINT) AS s, value FROM samples)
             SELECT g.job, g.pod, g.metric, g.t AS ts, round(p.value, 6) AS value
@@ -195,7 +197,9 @@ START, STOP, STEP, LOOKBACK = 1704067200, 1706659200, 1800, 7200
     ),
 )
 def metric_range(spark: SparkSession, sf: str) -> DataFrame:
-    grid = telemetry.metric_range(samples(spark, sf), START, STOP, STEP, LOOKBACK, 86400)
+    rows = samples(spark, sf)
+    first, last = rows.agg(F.min(F.unix_seconds("ts")), F.max(F.unix_seconds("ts"))).first()
+    grid = telemetry.metric_range(rows, first or 0, (last or 0) + LOOKBACK, STEP, LOOKBACK, 86400)
     return stamped(grid, "job", "pod", "metric", "ts", "value")
 
 

@@ -113,7 +113,7 @@ def test_forecasts_use_the_past_alone(spark, monkeypatch):
     known = spark.createDataFrame(list(made.values()))
     scored = {r["loop"]: r for r in forecast.wape(df, known).collect()}
     assert scored[8]["overlap"] == 0 and scored[9]["overlap"] == 10
-    assert np.mean([scored[i]["wape"] for i in range(40, 64)]) < 0.05
+    assert np.mean([scored[i]["wape"] for i in range(40, 64)]) < forecast.GOOD_WAPE
 
 
 def test_a_changed_series_gets_a_new_model_after_fifteen_bad_loops(spark):

@@ -292,26 +292,48 @@ def _prefixes(table, bits: int, percent: int):
     return run
 
 
+def _shorten():
+    """Worker function: size of each set, and the upper 32 bits of its codes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [_codes(packed.as_buffer()) for packed in batch.column("shingles")]
+            short = [(codes >> np.uint64(32)).astype(np.uint32).tobytes() for codes in sets]
+            columns = [
+                batch.column("rep"),
+                batch.column("label"),
+                pa.array([len(codes) for codes in sets], pa.int64()),
+                pa.array(short, pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["rep", "label", "n", "short"])
+
+    return run
+
+
 def _compare_blocks(percent: int):
-    """Worker function: links between documents of two blocks that bear different labels."""
+    """Worker function: documents of two blocks that bear different labels and may be near.
+
+    Shingles with the same 32 bits count as shared, so no link is missed. `best` marks the
+    pair of two labels whose sets seem to overlap most, one for each pair of blocks.
+    """
 
-    def table(members: list[dict]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    def table(members: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
         reps = np.array([m["rep"] for m in members], dtype=np.int64)
         labels = np.array([m["label"] for m in members], dtype=np.int64)
-        return reps, labels, [_codes(m["shingles"]) for m in members]
+        sizes = np.array([m["n"] for m in members], dtype=np.int64)
+        return reps, labels, sizes, [np.frombuffer(m["short"], dtype=np.uint32) for m in members]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for left, right in zip(batch.column("left"), batch.column("right")):
-                rep_a, label_a, sets_a = table(left.as_py())
-                rep_b, label_b, sets_b = table(right.as_py())
-                sizes_a = np.array([len(x) for x in sets_a])
-                sizes_b = np.array([len(x) for x in sets_b])
+                rep_a, label_a, sizes_a, sets_a = table(left.as_py())
+                rep_b, label_b, sizes_b, sets_b = table(right.as_py())
                 # Shingles of the left block by code, and the documents that hold each.
                 held = np.concatenate(sets_a)
                 owner = np.repeat(np.arange(len(sets_a)), sizes_a)
                 order = np.argsort(held, kind="stable")
                 held, owner = held[order], owner[order]
+                found = []
                 for k, codes in enumerate(sets_b):
                     low = np.searchsorted(held, codes, side="left")
                     runs = np.searchsorted(held, codes, side="right") - low
@@ -320,12 +342,19 @@ def _compare_blocks(percent: int):
                         owner[starts + np.arange(len(starts))], minlength=len(sets_a)
                     )
                     near = _linked(percent, shared, sizes_a, sizes_b[k]) & (label_a != label_b[k])
-                    found = rep_a[near]
-                    if len(found):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(found), pa.array(np.full(len(found), rep_b[k]))],
-                            names=["a", "b"],
-                        )
+                    at = np.flatnonzero(near)
+                    overlap = shared[at] / (sizes_a[at] + sizes_b[k] - shared[at])
+                    b, of_b = np.full(len(at), rep_b[k]), np.full(len(at), label_b[k])
+                    found.append((rep_a[at], b, label_a[at], of_b, overlap))
+                a, b, of_a, of_b, overlap = (np.concatenate(x) for x in zip(*found))
+                if not len(a):
+                    continue
+                low, high = np.minimum(of_a, of_b), np.maximum(of_a, of_b)
+                order = np.lexsort((-overlap, high, low))
+                best = np.ones(len(a), dtype=bool)
+                best[1:] = (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)
+                columns = [*(pa.array(x[order]) for x in (a, b, low, high)), pa.array(best)]
+                yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "low", "high", "best"])
 
     return run
 
@@ -337,8 +366,10 @@ def _left_over(
 
     `labels` has rep and label, the component so far. Documents of buckets with several
     labels are grouped again by their rarest shingles; groups with a single label are done.
-    What is left is compared in full, in blocks of similar set size, each pair of blocks once.
-    Only links between different labels are looked for, and only they are returned.
+    What is left is compared on 32 bits of each shingle, in blocks of similar set size, each
+    pair of blocks once; a label that fills blocks has them to itself, so these don't meet each
+    other. Pairs that may be near are confirmed on full sets, the best one of two labels first,
+    the others where that one fails. Only links between different labels are looked for.
     """
     spark = keys.sparkSession
     labelled = keys.join(_small(labels), "rep")
@@ -368,34 +399,47 @@ def _left_over(
         return None
     # Sets whose sizes are further apart than one class can't be near.
     width = -math.log(percent / 100)
-    n = F.octet_length("shingles") / 8
-    member = rows.join(_small(clusters), F.col("rep") == F.col("node")).select(
-        "component", "rep", "label", "shingles", F.floor(F.log(n) / width).alias("class"), n.alias("n")
+    short = rows.select("rep", "label", "shingles").mapInArrow(
+        _shorten(), "rep long, label long, n long, short binary"
     )
+    member = short.join(_small(clusters), F.col("rep") == F.col("node")).select(
+        "component", "rep", "label", "short", F.floor(F.log("n") / width).alias("class"), "n"
+    )
+    member = session.materialise(member, "cluster-members")
     # A cluster that fits one block needs no classes.
     totals = member.groupBy("component").agg((F.sum("n") <= BLOCK_SHINGLES).alias("fits"))
     totals = session.materialise(totals, "cluster-totals")
     member = member.join(_small(totals), "component").withColumn(
         "class", F.when(F.col("fits"), F.lit(0).cast("long")).otherwise(F.col("class"))
     )
-    sizes = member.groupBy("component", "class").agg(
+    by_label = member.groupBy("component", "class", "label").agg(F.sum("n").alias("n"))
+    by_label = session.materialise(by_label, "label-sizes")
+    large = by_label.where(F.col("n") > BLOCK_SHINGLES).select(
+        "component", "class", "label", F.ceil(F.col("n") / BLOCK_SHINGLES).cast("long").alias("own_parts")
+    )
+    sizes = by_label.where(F.col("n") <= BLOCK_SHINGLES).groupBy("component", "class").agg(
         F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("long").alias("parts")
     )
-    sizes = session.materialise(sizes, "cluster-sizes")
-    placed = member.join(_small(sizes), ["component", "class"]).select(
-        "component",
-        "class",
-        F.pmod(F.xxhash64("rep"), F.col("parts")).alias("part"),
-        F.struct("rep", "label", "shingles").alias("one"),
+    large, sizes = session.materialise(large, "large-labels"), session.materialise(sizes, "cluster-sizes")
+    own = F.col("own_parts").isNotNull()
+    placed = (
+        member.join(_small(large), ["component", "class", "label"], "left")
+        .join(_small(sizes), ["component", "class"], "left")
+        .select(
+            "component",
+            "class",
+            F.when(own, F.col("label")).alias("of"),
+            F.pmod(F.xxhash64("rep"), F.coalesce("own_parts", "parts")).alias("part"),
+            F.struct("rep", "label", "n", "short").alias("one"),
+        )
     )
-    blocks_ = placed.groupBy("component", "class", "part").agg(
+    blocks_ = placed.groupBy("component", "class", "of", "part").agg(
         F.collect_list("one").alias("members"),  # about BLOCK_SHINGLES shingles
         F.min("one.label").alias("low"),
         F.max("one.label").alias("high"),
     )
-    blocks_ = session.materialise(
-        blocks_.withColumn("block", F.xxhash64("component", "class", "part")), "cluster-blocks"
-    )
+    block = F.xxhash64("component", "class", F.struct("of"), "part")
+    blocks_ = session.materialise(blocks_.withColumn("block", block), "cluster-blocks")
     slim = blocks_.select("block", "component", "class", "low", "high")
     left, right = slim.alias("l"), slim.alias("r")
     # Each block is compared with itself where it lies. Across blocks, each class meets itself
@@ -414,7 +458,16 @@ def _left_over(
     full = blocks_.select("block", "members")
     both = pairs.join(full.toDF("x", "left"), "x").join(full.toDF("y", "right"), "y")
     both = both.select("left", "right").union(own)
-    return both.mapInArrow(_compare_blocks(percent), "a long, b long")
+    near = both.mapInArrow(_compare_blocks(percent), "a long, b long, low long, high long, best boolean")
+    near = session.materialise(near, "maybe-near")
+    first = session.materialise(confirmed(near.where("best").select("a", "b"), sets, percent), "links")
+    rest = near.where("not best")
+    if rest.isEmpty():
+        return first
+    done = near.join(first, ["a", "b"], "left_semi").select("low", "high").distinct()
+    rest = rest.join(done, ["low", "high"], "left_anti").select("a", "b")
+    rest = session.materialise(rest, "unclear-pairs")
+    return first if rest.isEmpty() else first.union(confirmed(rest, sets, percent))
 
 
 def near_duplicates(documents: DataFrame, like: Similarity | None = None) -> DataFrame:

@@ -120,3 +120,29 @@ def test_texts_under_one_id_are_judged_apart(documents):
         assert (3, text("a")) in got and (5, text("a")) not in got and (None, text("a")) in got
         assert (7, text("c")) in got and sum(t == text("d") for t in texts) == 1
         assert got.count((4, None)) == 1 and got.count((4, "")) == 1
+
+
+def test_pairs_that_only_short_codes_hold_near_are_refused(documents, monkeypatch):
+    """With 6 bits of each shingle most pairs seem near; full sets decide, all pairs if need be."""
+    whole = near_dup._shorten
+
+    def narrow():
+        import numpy as np
+        import pyarrow as pa
+
+        def run(batches):
+            for batch in whole()(batches):
+                cut = [np.frombuffer(x.as_py(), np.uint32) >> 26 for x in batch.column("short")]
+                cut = pa.array([x.astype(np.uint32).tobytes() for x in cut], pa.binary())
+                yield batch.set_column(batch.schema.get_field_index("short"), "short", cut)
+
+        return run
+
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(90)]
+    rows = list(enumerate(edited(rng, base, rng.randrange(0, 9)) for _ in range(60)))
+    want = {i: (n, c, c == i) for i, (n, c) in brute(rows).items()}
+    assert len({c for _, c, _ in want.values()}) > 3
+    monkeypatch.setattr(near_dup, "_shorten", narrow)
+    monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", 400)
+    assert result(near_duplicates(documents(rows))) == want

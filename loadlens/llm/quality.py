@@ -298,9 +298,17 @@ def judge(documents: DataFrame, labels: DataFrame, risk: Risk | None = None) ->
 
 
 def keep_good(documents: DataFrame, labels: DataFrame, risk: Risk | None = None) -> DataFrame:
-    """Documents that `judge` keeps, with their own columns, under any names."""
-    row = documents.select(F.struct("*").alias("row"), "doc_id", "lang", "text")
-    measured = session.materialise(measure(documents), "quality-measures")
+    """Documents that `judge` keeps, with their own columns, under any names.
+
+    Only labelled documents are measured for the cutoffs; then every text is measured once, on
+    its way to the verdict.
+    """
+    ids = labels.where("doc_id is not null and quality is not null").select("doc_id").distinct()
+    measured = session.materialise(measure(documents.join(ids, "doc_id", "left_semi")), "quality-measures")
     cutoffs = calibrate(measured, labels, risk)
-    again = row.select("row", F.col("lang").alias("stratum"), measures(F.col("text")).alias("m"))
-    return verdicts(again, cutoffs).where("kept").select("row.*")
+    row = documents.select(F.struct("*").alias("row"), F.col("lang").alias("stratum"), "text")
+    # Rows are numbered beside the measures: so conditions on these are not pushed below this
+    # step, where each would measure the text again.
+    number = F.monotonically_increasing_id().alias("at")
+    measured = row.select("row", "stratum", measures(F.col("text")).alias("m"), number)
+    return verdicts(measured, cutoffs).where("kept and at >= 0").select("row.*")

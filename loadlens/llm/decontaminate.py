@@ -185,6 +185,7 @@ def find_passages(
     result, repeated rows too. An empty benchmark hits nothing.
     """
     spark = documents.sparkSession
+    session.small_arrow_batches(spark)
     items = benchmark.select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"),
         F.coalesce("text", F.lit("")).alias("text"),

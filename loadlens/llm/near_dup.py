@@ -490,6 +490,7 @@ def near_duplicates(documents: DataFrame, like: Similarity | None = None) -> Dat
     null component_id, and are kept. An empty table gives no row; other columns are not read.
     """
     like = like or Similarity()
+    session.small_arrow_batches(documents.sparkSession)
     signed = documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sign(like), SIGNED)
     signed = session.materialise(signed, "signatures")
     known = signed.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())

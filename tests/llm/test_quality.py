@@ -3,8 +3,10 @@ import random
 import re
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
+from loadlens import session
 from loadlens.llm import quality
 from loadlens.llm.quality import binomial_tail, judge, keep_good
 
@@ -77,3 +79,56 @@ def test_binomial_tail_is_exact(spark):
         want = sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k + 1))
         got = df.first().t
         assert got == 1.0 if k >= n * p else abs(got - want) <= 1e-9 * want
+
+
+@pytest.fixture
+def long_tables(spark):
+    """Joins as on tables that are too long to be broadcast unasked."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    yield
+    spark.conf.set(key, before)
+
+
+def test_pipeline_stage_shuffles_no_text(documents, spark, long_tables, monkeypatch):
+    texts = sample(random.Random(8), 600)
+    # Ids far apart, below zero, repeated and null.
+    ids = [None if i % 50 == 0 else (i // 2 if i % 7 == 0 else i) * 10**15 - 10**17 for i in range(600)]
+    docs = documents([(i, t, "en", "s", 0) for i, t in zip(ids, texts)])
+    labels = [(d, int(i % 5 != 0), 0, "x") for i, d in enumerate(ids) if i % 3]
+    known = spark.createDataFrame(labels, LABELS)
+    frames, write = [], session.materialise
+    monkeypatch.setattr(session, "materialise", lambda df, purpose: write(frames.append(df) or df, purpose))
+    strict = quality.Risk(alpha=0.05)
+    kept = keep_good(docs, known, strict)
+    for df in [*frames, kept]:
+        plan = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+        moved = re.findall(r"Exchange\nInput \[\d+\]: \[.*", plan)
+        assert not [x for x in moved if "text#" in x], plan
+    want = judge(docs, known, strict)
+    assert any(r.rejected_by for r in want.collect())
+    ids_of = lambda df: sorted((r.doc_id for r in df.collect()), key=str)
+    assert ids_of(kept) == ids_of(want.where("kept"))
+
+
+@pytest.mark.parametrize("most", [1 << 29, 7])
+def test_no_labelled_document_is_missed(documents, spark, monkeypatch, most):
+    monkeypatch.setattr(quality, "MOST_BITS", most)
+    ids = [random.Random(i).randrange(-(2**63), 2**63) for i in range(3000)] + [0, 1, -1, None, 2**63 - 1, -(2**63)]
+    docs = documents([(i, f"t{i}") for i in ids] + [(0, "again")])
+    known = [*ids[:400], *ids[-6:], ids[0]]
+    labels = spark.createDataFrame([(i, 1, 0, "x") for i in known] + [(ids[500], None, 0, "x")], LABELS)
+    got = Counter((r.doc_id, r.text) for r in quality.maybe_labelled(docs, labels).collect())
+    must = {(i, f"t{i}") for i in known if i is not None} | {(0, "again")}
+    assert max(got.values()) == 1 and must <= set(got)
+    if most > 7:
+        assert len(got) < 800
+    assert quality.maybe_labelled(docs, labels.limit(0)).count() == 0
+
+
+def test_labels_whose_ids_have_another_type(documents, spark):
+    docs = documents([(i, f"t{i}") for i in range(100)])
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 100, 2)], "doc_id int, quality int")
+    got = {r.doc_id for r in quality.maybe_labelled(docs, labels).collect()}
+    assert set(range(0, 100, 2)) <= got

@@ -19,10 +19,9 @@ from loadlens.llm.components import components
 
 # Rows up to which a table of ids is broadcast; longer ones are joined by shuffle.
 BROADCAST_IDS = 2_000_000
-# Counters of shingle frequencies, a table of fixed size.
-FREQUENCY_BITS = 20
-# Shingles in a block of documents that is compared with other blocks.
-BLOCK_SHINGLES = 1 << 16
+# Shingles in a block of documents that is compared with other blocks. A block moves once for each
+# of these: four times as many shingles make a sixteenth of the pairs and move a quarter as much.
+BLOCK_SHINGLES = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -244,52 +243,41 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "left", "right").mapInArrow(_confirm(percent), "a long, b long")
 
 
-def _count_shingles(bits: int):
-    """Worker function: how often shingles fall on each counter."""
+def _spread():
+    """Worker function: a row for each shingle of each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, dtype=np.int64)
         for batch in batches:
-            for packed in batch.column("shingles"):
-                np.add.at(counts, (_codes(packed.as_buffer()) >> np.uint64(64 - bits)).astype(np.int64), 1)
-        used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(used, pa.int64()), pa.array(counts[used], pa.int64())], names=["counter", "n"]
-        )
+            sets = [_codes(packed.as_buffer()) for packed in batch.column("shingles")]
+            codes = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+            at = np.repeat(batch.column("at").to_numpy(), [len(own) for own in sets])
+            columns = [pa.array(at, pa.int64()), pa.array(codes.view(np.int64), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["at", "shingle"])
 
     return run
 
 
-def _prefixes(table, bits: int, percent: int):
-    """Worker function: the rarest shingles of each set, enough to meet every near set.
+def _rarest(sets: DataFrame, percent: int) -> DataFrame:
+    """The rarest shingles (shingle, rep, label) of each set, enough to meet every near set.
 
-    Two sets that are near enough share one of their first n - ceil(percent n) + 1 shingles in
-    any order that both use; here rare ones come first.
+    `sets` has one number `at` and the size `n` of each. Two sets that are near enough share one
+    of their first n - ceil(percent n) + 1 shingles in any order that both use; here rare ones
+    come first, counted over all of `sets`. Those that no other set holds take the first places
+    and meet nothing, so they have no row: a set with enough of its own has none at all.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = table.value
-        for batch in batches:
-            shingles, reps, labels = [], [], []
-            for packed, rep, label in zip(
-                batch.column("shingles"),
-                batch.column("rep").to_pylist(),
-                batch.column("label").to_pylist(),
-            ):
-                codes = _codes(packed.as_buffer())
-                rarity = counts[(codes >> np.uint64(64 - bits)).astype(np.int64)]
-                size = len(codes) + (-percent * len(codes)) // 100 + 1
-                first = codes[np.lexsort((codes, rarity))[:size]]
-                shingles.append(first.view(np.int64))
-                reps.append(np.full(size, rep, dtype=np.int64))
-                labels.append(np.full(size, label, dtype=np.int64))
-            columns = [
-                pa.array(np.concatenate(x) if x else np.empty(0, np.int64), pa.int64())
-                for x in (shingles, reps, labels)
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=["shingle", "rep", "label"])
-
-    return run
+    every = sets.select("at", "shingles").mapInArrow(_spread(), "at long, shingle long").repartition("shingle")
+    often = every.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    shared = every.join(often.hint("shuffle_hash"), "shingle").groupBy("at").agg(
+        F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("shared")
+    )
+    first = F.expr(f"int((n * {100 - percent}) div 100 + 1 - n + size(shared))")
+    return (
+        sets.select("at", "rep", "label", "n")
+        .join(shared, "at")
+        .where(first > 0)
+        .select(F.explode(F.slice("shared", F.lit(1), first)).alias("one"), "rep", "label")
+        .select("one.shingle", "rep", "label")
+    )
 
 
 def _shorten():
@@ -365,7 +353,8 @@ def _left_over(
     """Links between documents of one bucket that the bucket's first document didn't show.
 
     `labels` has rep and label, the component so far. Documents of buckets with several
-    labels are grouped again by their rarest shingles; groups with a single label are done.
+    labels are grouped again by their rarest shingles (`_rarest`); groups with a single label are
+    done.
     What is left is compared on 32 bits of each shingle, in blocks of similar set size, each
     pair of blocks once; a label that fills blocks has them to itself, so these don't meet each
     other. Pairs that may be near are confirmed on full sets, the best one of two labels first,
@@ -379,16 +368,10 @@ def _left_over(
     open_reps = session.materialise(open_reps.join(labels, "rep"), "open-documents")
     if open_reps.isEmpty():
         return None
-    rows = session.materialise(sets.join(_small(open_reps), "rep"), "open-sets")
-    counted = rows.select("shingles").mapInArrow(_count_shingles(FREQUENCY_BITS), "counter long, n long")
-    counted = counted.groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(1 << FREQUENCY_BITS, dtype=np.int64)
-    counts[counted["counter"].to_numpy()] = counted["n"].to_numpy()
-    table = spark.sparkContext.broadcast(counts)
-    rare = rows.select("shingles", "rep", "label").mapInArrow(
-        _prefixes(table, FREQUENCY_BITS, percent), "shingle long, rep long, label long"
-    )
-    rare = session.materialise(rare, "rare-shingles")
+    size = F.expr("octet_length(shingles) div 8")
+    rows = sets.join(_small(open_reps), "rep").withColumns({"at": F.monotonically_increasing_id(), "n": size})
+    rows = session.materialise(rows, "open-sets")
+    rare = session.materialise(_rarest(rows, percent), "rare-shingles")
     groups = rare.groupBy("shingle").agg(
         F.min("rep").alias("first"), F.min("label").alias("low"), F.max("label").alias("high")
     )

@@ -146,3 +146,30 @@ def test_pairs_that_only_short_codes_hold_near_are_refused(documents, monkeypatc
     monkeypatch.setattr(near_dup, "_shorten", narrow)
     monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", 400)
     assert result(near_duplicates(documents(rows))) == want
+
+
+def test_only_documents_whose_rarest_shingles_meet_are_clustered(documents, monkeypatch):
+    """Half-alike documents with enough shingles of their own meet in buckets, but no more."""
+    monkeypatch.setattr(near_dup, "FREQUENCY_BITS", 4, raising=False)  # counters that all shingles share
+    rng = random.Random(3)
+    texts = []
+    for family in range(6):
+        base = [f"f{family}w{i}" for i in range(140)]
+        for member in range(5):
+            own = [f"f{family}m{member}o{i}" for i in range(30)]
+            texts.append(" ".join(base + own))
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    made, whole = {}, near_dup.session.materialise
+
+    def kept(df, purpose):
+        made[purpose] = whole(df, purpose)
+        return made[purpose]
+
+    monkeypatch.setattr(near_dup.session, "materialise", kept)
+    want = {i: (n, c, c == i) for i, (n, c) in brute(rows).items()}
+    assert len({c for _, c, _ in want.values()}) == len(rows)
+    assert result(near_duplicates(documents(rows))) == want
+    assert made["open-documents"].count() == len(rows)
+    assert made["rare-shingles"].count() == 0
+    assert "cluster-blocks" not in made
